@@ -1,0 +1,77 @@
+"""Tool names, input keys, status words and thresholds that results depend on."""
+
+# Tools whose success writes a file.
+WRITE_TOOLS = (
+    "Edit", "edit", "Write", "write", "NotebookEdit", "patch", "MultiEdit", "multiedit",
+    "str_replace_editor", "create_file", "StrReplace",
+)
+# Input keys naming the written file, first non-empty wins.
+WRITE_PATH_KEYS = ("file_path", "filePath", "notebook_path", "notebookPath", "path")
+# Skill tools (lower case) and the input keys naming the skill, first non-blank wins.
+SKILL_TOOLS = ("skill", "skills", "invoke_skill", "run_skill")
+SKILL_KEYS = ("skill", "name", "skill_name", "skillName", "id", "skill_id")
+# Tools that start a child agent, and shell tools.
+SPAWN_TOOLS = ("Agent", "agent", "Task", "task", "subagent", "subagent_fork", "spawn_agent")
+BASH_TOOLS = ("Bash", "bash", "BashCommand", "Shell")
+# Harness primitives; their failures are "system" failures.
+SYSTEM_TOOLS = (
+    "Grep", "grep", "Glob", "glob", "find", "Read", "read", "WebFetch", "WebSearch", "ToolSearch",
+    "LS", "ls", "ListDir", "list_dir",
+) + WRITE_TOOLS
+# Failure words of a call status (lower case).
+FAILURE_STATUSES = ("error", "failed", "failure", "cancelled", "canceled", "timeout", "timed_out")
+# Plan tools (lower case), read tools, search tools.
+PLAN_TOOLS = (
+    "todowrite", "todo_write", "todoupdate", "taskcreate", "taskupdate", "tasklist", "enterplanmode",
+)
+READ_TOOLS = ("Read", "read", "WebFetch")
+SEARCH_TOOLS = BASH_TOOLS + ("Grep", "Glob", "grep", "glob", "find", "ToolSearch", "WebSearch")
+# Command fragments that mark a validation run.
+VALIDATION_FRAGMENTS = (
+    "pytest", "python -m pytest", "unittest", "tox", "nox", "go test", "cargo test", "npm test",
+    "pnpm test", "yarn test", "jest", "vitest", "mvn test", "gradle test", "bazel test", "make test",
+    "ctest", "ruff", "flake8", "pylint", "mypy", "eslint", "ruff check", "cargo check",
+    "npm run lint", "pnpm lint", "yarn lint", "make lint", "make check", "golangci-lint",
+    "pre-commit run", "tsc --noemit", "git diff --check",
+)
+# Order of the six workflow phases.
+PHASE_RANK = {"understand": 0, "plan": 1, "implement": 2, "debug": 3, "validate": 4, "report": 5}
+# Outputs that mean "nothing found".
+EMPTY_OUTPUTS = ("", "No matches found", "No results", "No files found")
+# Executables that search.
+SEARCH_EXECUTABLES = ("grep", "rg", "ag", "find", "locate", "fgrep", "egrep", "ripgrep")
+# Shell fragments that make a path in a command a write.
+SHELL_WRITE_FRAGMENTS = ("mv ", "cp ", "rm ", "mkdir ", "touch ", "> ", ">> ", "tee ")
+# A shell command used where a read tool exists; name -> pattern.
+SHELL_READ_PATTERNS = (
+    r"^sed\s+-n\s+'",
+    r"^cat\s+[\"']?[/\\a-zA-Z]",
+    r"^head\s+-[n0-9]",
+    r"^tail\s+-[n0-9]",
+)
+# Input keys of file tools.
+FILE_TOOL_KEYS = {
+    "Read": (("file_path", "filePath", "path"), "read"),
+    "read": (("file_path", "filePath", "path"), "read"),
+    "Write": (("file_path", "filePath", "path"), "write"),
+    "write": (("file_path", "filePath", "path"), "write"),
+    "Edit": (("file_path", "filePath", "path"), "write"),
+    "edit": (("file_path", "filePath", "path"), "write"),
+    "NotebookEdit": (("notebook_path", "notebookPath"), "write"),
+}
+# A path token in a shell command (quoted, or bare).
+SHELL_PATH_PATTERN = (
+    r"""(?:^|[\s=;|&(])(?:["']((?:/|\.\.?/|[a-zA-Z]:[/\\])[^"']*?)["']"""
+    r"""|((?:/|\.\.?/|[a-zA-Z]:[/\\])[^\s;|&)'"]+))"""
+)
+# Bottleneck floors in seconds and the issue limit.
+BOTTLENECK_MIN_S = 8.0
+BOTTLENECK_IDLE_S = 10.0
+BOTTLENECK_TOOL_S = 5.0
+BOTTLENECK_INFERENCE_S = 15.0
+BOTTLENECK_LONG_INFERENCE_S = 30.0
+BOTTLENECK_TOKENS = 40_000
+BOTTLENECK_CACHE = 0.35
+BOTTLENECK_TOP = 3
+
+TOKEN_FIELDS = ("total", "input", "output", "reasoning", "cache_read", "cache_write")
