@@ -5,7 +5,7 @@ ev AS (
   SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step_idx,
          event_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
          CAST(floor(value * 100) AS BIGINT) AS cents, CAST(floor(value) AS BIGINT) AS whole,
-         epoch_ms(ts) AS created
+         epoch_us(ts) // 1000 AS created
   FROM events),
 base AS (
   SELECT *, event_type = 'signup' AND k % 2 = 0 AS is_user, event_type = 'error' AS failed,

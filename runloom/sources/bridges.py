@@ -179,14 +179,22 @@ def event_runs(spark: SparkSession, folder: str, indexed: bool = True) -> Runs:
     return Runs(conform(steps, STEPS), conform(calls, CALLS), conform(parts, PARTS))
 
 
-def order_runs(spark: SparkSession, folder: str) -> Runs:
+def order_runs(spark: SparkSession, folder: str, positions: bool = True) -> Runs:
     orders = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("traj_id"), "o_orderkey", "o_totalprice",
         _millis("o_orderdate").alias("time_created_ms"),
     )
     orders = with_slice(dense_index(orders, "traj_id", F.col("time_created_ms"), ["o_orderkey"]))
     duration = F.lit(60) + F.col("o_orderkey") % 60
-    lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, folder, "lineitem")
+    if positions:
+        lines = dense_index(
+            lines, "l_orderkey", F.col("l_linenumber"),
+            ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"], name="call_pos",
+        )
+    else:
+        lines = lines.withColumn("call_pos", F.lit(0))
+    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     total = F.floor("o_totalprice").cast("bigint")
     steps = orders.select(
         "traj_id", "step_idx", "slice",
@@ -201,16 +209,10 @@ def order_runs(spark: SparkSession, folder: str) -> Runs:
         F.array(*[F.lit(n) for n in ("Read", "Grep", "Glob", "Bash", "Edit", "Write", "mcp__srv__run", "Task")]),
         (F.col("l_partkey") % 8 + 1).cast("int"),
     )
-    from pyspark.sql import Window
-
-    # An order has at most a few lines; the position inside one is the rank over the full line tuple.
-    place = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"
-    )
     start = F.col("time_created_ms") + F.col("l_linenumber").cast("bigint") * 1000
     calls = lines.select(
         "traj_id", "step_idx", "slice",
-        (F.row_number().over(place) - 1).alias("call_pos"),
+        "call_pos",
         kind.alias("tool_name"),
         F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"),
         call_input(
