@@ -60,8 +60,8 @@ ocalls AS (
 
 def events_sql(query: str) -> str:
     """``query`` may open with its own CTEs, written as ``, name AS (...) SELECT``."""
-    return f"WITH {EVENTS}\n{query}"
+    return f"WITH RECURSIVE {EVENTS}\n{query}"
 
 
 def orders_sql(query: str) -> str:
-    return f"WITH {ORDERS}\n{query}"
+    return f"WITH RECURSIVE {ORDERS}\n{query}"
