@@ -121,7 +121,7 @@ def a26(spark, d):
 
 
 @query("j04_clusters_with_spawn", events_sql(CLUSTER + """, sp AS (SELECT traj_id, 'sub' || (k % 3) AS agent, min(step_idx) AS parent_step FROM calls WHERE tool_name = 'Task' GROUP BY ALL)
-  SELECT cl.traj_id, tool, pattern, first_step, CASE WHEN sp.parent_step IS NOT NULL THEN 'main' END AS parent_agent, sp.parent_step
+  SELECT cl.traj_id, cl.tool, cl.pattern, first_step, CASE WHEN sp.parent_step IS NOT NULL THEN 'main' END AS parent_agent, sp.parent_step
   FROM cl JOIN st ON st.traj_id = cl.traj_id AND st.step_idx = cl.first_step LEFT JOIN sp ON sp.traj_id = cl.traj_id AND sp.agent = st.eff_agent"""))
 def j04(spark, d):
     from catalog.metrics import j03
@@ -201,11 +201,12 @@ def g09(spark, d):
     return s.repeated_searches(event_runs(spark, d).calls)
 
 
-@query("f06_shell_reads", events_sql("SELECT traj_id, step_idx, 0::BIGINT AS call_pos, command FROM calls WHERE command LIKE 'cat %'"))
+@query("f06_shell_reads", events_sql(r"""SELECT traj_id, step_idx, 0::BIGINT AS call_pos, replace(command, './', '') AS command, '^cat\s+[\"'']?[/\\a-zA-Z]' AS pattern
+   FROM calls WHERE command LIKE 'cat %'"""))
 def f06(spark, d):
-    return s.shell_reads(event_runs(spark, d).calls).filter(
-        F.col("pattern").startswith("^cat")
-    ).select("traj_id", "step_idx", "call_pos", "command")
+    calls = event_runs(spark, d).calls
+    bare = F.replace(F.col("input.command"), F.lit("./"), F.lit(""))
+    return s.shell_reads(calls.withColumn("input", F.col("input").withField("command", bare)))
 
 
 PLAN = """, pl AS (SELECT traj_id, step_idx, k, row_number() OVER (PARTITION BY traj_id ORDER BY step_idx) AS snapshot FROM calls WHERE tool_name = 'TodoWrite'),
