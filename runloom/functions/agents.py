@@ -23,9 +23,15 @@ def effective_agent() -> Column:
 
 
 def window_agent() -> Column:
-    """Key of the context window a step belongs to: its session when there is one."""
+    """Key of the context window a step belongs to: its session when there is one.
+
+    Without a session, user and compaction turns of a sub-agent belong to that agent's window.
+    """
+    agent = F.coalesce("agent", F.lit(""))
     session = F.when(F.col("session_id") != "", F.col("session_id"))
-    return F.coalesce(session, effective_agent())
+    sub = F.coalesce("is_sub_agent", F.lit(False)) | agent.endswith("(subagent)") | F.col("is_sub_agent").isNull()
+    turn = F.when(sub, agent).otherwise("")
+    return F.coalesce(session, F.when(F.col("role").isin("user", "compaction"), turn).otherwise(effective_agent()))
 
 
 def workflow_role(all_synthetic: Column, has_compaction_part: Column = F.lit(False)) -> Column:

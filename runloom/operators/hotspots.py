@@ -48,7 +48,7 @@ def decompose(steps: DataFrame, calls: DataFrame) -> DataFrame:
             "dominant_target": F.when(live, F.col("_top.target")),
             "dominant_s": F.when(live, F.round(F.col("_top.ms") / 1000, 2)),
         }
-    ).withColumns({c: F.round(c, 2) for c in ("tool_s", "inference_s", "idle_s")}).drop("_done", "_top", "tool_ms", "untimed")
+    ).withColumns({c: F.round(F.round(c, 6), 2) for c in ("tool_s", "inference_s", "idle_s")}).drop("_done", "_top", "tool_ms", "untimed")
 
 
 def explanation() -> Column:

@@ -135,31 +135,35 @@ def carry(
     keys: Sequence[str] = ("traj_id",),
     order: Sequence[str] = ("step_idx",),
     strict: bool = True,
-    forward: bool = True,
+    back: dict[str, Column] | None = None,
     piece: str = "slice",
 ) -> DataFrame:
-    """Last (``forward=False``: next) non-null value before (``strict=False``: at or before) the row."""
-    keys = list(keys)
+    """Last non-null value before (``strict=False``: at or before) the row; ``back`` likewise looks ahead."""
+    keys, back = list(keys), back or {}
     edge = 1 if strict else 0
-    df = df.withColumns({f"_v_{n}": c for n, c in values.items()})
-    if forward:
-        pick, outer = (lambda c: F.last(c, ignorenulls=True)), F.max_by
-        frame, earlier = (Window.unboundedPreceding, -edge), (Window.unboundedPreceding, -1)
-    else:
-        pick, outer = (lambda c: F.first(c, ignorenulls=True)), F.min_by
-        frame, earlier = (edge, Window.unboundedFollowing), (1, Window.unboundedFollowing)
-    local = Window.partitionBy(*keys, piece).orderBy(*order).rowsBetween(*frame)
-    across = Window.partitionBy(*keys).orderBy(piece).rowsBetween(*earlier)
+    both = {**values, **back}
+    df = df.withColumns({f"_v_{n}": c for n, c in both.items()})
+    base = Window.partitionBy(*keys, piece).orderBy(*order)
+    line = Window.partitionBy(*keys).orderBy(piece)
     at = F.struct(*order)
-    ends = df.groupBy(*keys, piece).agg(
-        *[outer(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_s_{n}") for n in values]
-    )
-    ends = ends.select(*keys, piece, *[pick(F.col(f"_s_{n}")).over(across).alias(f"_o_{n}") for n in values])
-    ends = ends.filter(" or ".join(f"_o_{n} is not null" for n in values))
-    out = df.withColumns({f"_l_{n}": pick(F.col(f"_v_{n}")).over(local) for n in values})
+
+    def pick(name: str, column: str, window, gap: int) -> Column:
+        if name in back:
+            return F.first(column, ignorenulls=True).over(window.rowsBetween(gap, Window.unboundedFollowing))
+        return F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -gap))
+
+    def end(name: str) -> Column:
+        value = F.col(f"_v_{name}")
+        side = F.min_by if name in back else F.max_by
+        return side(value, F.when(value.isNotNull(), at)).alias(f"_s_{name}")
+
+    ends = df.groupBy(*keys, piece).agg(*[end(n) for n in both])
+    ends = ends.select(*keys, piece, *[pick(n, f"_s_{n}", line, 1).alias(f"_o_{n}") for n in both])
+    ends = ends.filter(" or ".join(f"_o_{n} is not null" for n in both))
+    out = df.withColumns({f"_l_{n}": pick(n, f"_v_{n}", base, edge) for n in both})
     out = out.join(ends, [*keys, piece], "left")
-    out = out.withColumns({n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_o_{n}")) for n in values})
-    return out.drop(*[f"{p}{n}" for n in values for p in ("_v_", "_l_", "_o_")])
+    out = out.withColumns({n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_o_{n}")) for n in both})
+    return out.drop(*[f"{p}{n}" for n in both for p in ("_v_", "_l_", "_o_")])
 
 
 def islands(

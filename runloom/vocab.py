@@ -75,3 +75,20 @@ BOTTLENECK_CACHE = 0.35
 BOTTLENECK_TOP = 3
 
 TOKEN_FIELDS = ("total", "input", "output", "reasoning", "cache_read", "cache_write")
+
+# Context window sizes by model prefix, and the size assumed otherwise.
+MODEL_WINDOWS = (("claude", 200_000), ("gpt-4o", 128_000))
+DEFAULT_WINDOW = 128_000
+# What counts as a drop of the window, and when a compaction is premature.
+DROP_RATIO = 0.7
+SNAPSHOT_DROP_RATIO = 0.95
+SNAPSHOT_DROP_TOKENS = 1000
+RECOVERED_RATIO = 0.8
+LAST_DROP_RATIO = 0.4
+PREMATURE_RATIO = 0.5
+PRUNE_GAP_MS = 30_000
+EXPLICIT_KINDS = ("compaction_part", "compaction_message", "summary", "compress_step")
+# Window composition buckets in display order.
+BUCKETS = (
+    "system", "tools", "rules", "skills", "mcp", "subagents", "summarized", "conversation", "tool_outputs",
+)
