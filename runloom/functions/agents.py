@@ -34,9 +34,9 @@ def window_agent() -> Column:
     return F.coalesce(session, F.when(F.col("role").isin("user", "compaction"), turn).otherwise(effective_agent()))
 
 
-def workflow_role(all_synthetic: Column, has_compaction_part: Column = F.lit(False)) -> Column:
+def workflow_role(all_synthetic: Column, has_compaction_part: Column | None = None) -> Column:
     """Display role; ``all_synthetic`` says the step has text parts and every one is injected."""
-    compaction = F.coalesce("is_compaction_checkpoint", F.lit(False)) | F.coalesce(has_compaction_part, F.lit(False))
+    compaction = F.coalesce("is_compaction_checkpoint", F.lit(False)) | F.coalesce(F.lit(None).cast("boolean") if has_compaction_part is None else has_compaction_part, F.lit(False))
     return (
         F.when(F.col("role") != "user", F.col("role"))
         .when(compaction, "compaction")

@@ -10,7 +10,8 @@ from runloom.functions import calls as fc, tokens as ft
 from runloom.operators.slices import nearest_rank, neighbours
 
 STEP = ["traj_id", "slice", "step_idx"]
-ASSISTANT = F.col("role") == "assistant"
+def assistant() -> Column:
+    return F.col("role") == "assistant"
 
 
 def _first_input() -> Column:
@@ -91,7 +92,7 @@ def moments(df: DataFrame, keys: list[str], value: Column, decimals: int = 3) ->
 
 def outlier_thresholds(steps: DataFrame) -> DataFrame:
     """Seconds a step must exceed to count as an outlier of its run."""
-    timed = steps.filter(ASSISTANT & (F.col("duration") > 0)).select("traj_id", "duration")
+    timed = steps.filter(assistant() & (F.col("duration") > 0)).select("traj_id", "duration")
     ranks = nearest_rank(timed, ["traj_id"], F.col("duration"), {"p90": 0.9}, "median")
     rows = moments(timed, ["traj_id"], F.col("duration")).join(ranks, "traj_id")
     least = F.lit(vocab.BOTTLENECK_MIN_S)
@@ -103,7 +104,7 @@ def outlier_thresholds(steps: DataFrame) -> DataFrame:
 
 def bottlenecks(steps: DataFrame, calls: DataFrame, top: int = vocab.BOTTLENECK_TOP) -> DataFrame:
     """The ``top`` outlier steps of a run that have one dominant, actionable cause."""
-    rows = decompose(steps, calls).filter(ASSISTANT & (F.col("duration") > 0)).join(outlier_thresholds(steps), "traj_id")
+    rows = decompose(steps, calls).filter(assistant() & (F.col("duration") > 0)).join(outlier_thresholds(steps), "traj_id")
     impact = F.col("duration") + F.col("idle_s")
     rows = rows.withColumn("impact", impact).filter(F.col("impact") >= F.col("threshold"))
     share = ft.cache_share(F.col("tokens.cache_read"), F.col("tokens.total"))

@@ -14,7 +14,8 @@ from runloom.functions import agents, calls as fc, tokens as ft
 from runloom.operators.slices import carry, nearest_rank, neighbours
 
 STEP = ["traj_id", "slice", "step_idx"]
-ASSISTANT = F.col("role") == "assistant"
+def assistant() -> Column:
+    return F.col("role") == "assistant"
 
 
 def exact_sum(seconds: Column) -> Column:
@@ -132,7 +133,7 @@ def token_stats(steps: DataFrame, sessions: DataFrame | None = None) -> DataFram
     ``sessions`` may add ``patch_lines`` and ``churn`` for tokens per changed line.
     """
     rows = cache_columns(steps)
-    rated = ASSISTANT & (F.col("tokens.total") > 0)
+    rated = assistant() & (F.col("tokens.total") > 0)
     unusable = F.count_if(rated & F.col("share").isNull())
     # A share is summed as a decimal of 15 digits: exact, and the same however the rows are split.
     mean = (F.sum(F.when(rated, F.col("share")).cast("decimal(20,15)")) / F.count(F.when(rated, F.col("share")))).cast("double")
@@ -141,7 +142,7 @@ def token_stats(steps: DataFrame, sessions: DataFrame | None = None) -> DataFram
         *token_sums(),
         _bigint_sum(F.col("fresh")).alias("fresh_tokens"),
         F.count("*").alias("steps"),
-        F.count_if(ASSISTANT).alias("assistant_steps"),
+        F.count_if(assistant()).alias("assistant_steps"),
         F.count_if(F.col("role") == "user").alias("user_steps"),
         exact_sum(F.col("duration")).alias("seconds"),
         unusable.alias("cache_unusable_steps"),
@@ -149,10 +150,10 @@ def token_stats(steps: DataFrame, sessions: DataFrame | None = None) -> DataFram
         F.count_if(rated & (F.col("share") >= 0.9)).alias("cache_dominant_steps"),
     )
     ranks = nearest_rank(
-        rows.filter(ASSISTANT), ["traj_id"], F.col("tokens.total"), {"p95_step_tokens": 0.95}, "median_step_tokens"
+        rows.filter(assistant()), ["traj_id"], F.col("tokens.total"), {"p95_step_tokens": 0.95}, "median_step_tokens"
     )
     speeds = nearest_rank(
-        rows.filter(ASSISTANT & (F.col("duration") > 0)), ["traj_id"],
+        rows.filter(assistant() & (F.col("duration") > 0)), ["traj_id"],
         F.col("tokens.total") / F.col("duration"), {}, "median_tokens_per_second",
     )
     wide = sums.join(ranks, "traj_id", "left").join(speeds, "traj_id", "left")
@@ -206,9 +207,9 @@ def tool_stats(steps: DataFrame, calls: DataFrame, parts: DataFrame | None = Non
         F.sum("timed_calls").alias("_timed"),
         (F.sum("spawn_ms") / 1000).alias("_spawn_s"),
         _bigint_sum(F.col("delegated_calls")).alias("delegated_calls"),
-        F.count_if(ASSISTANT & (F.col("tool_call_count") >= 2)).alias("multi_tool_steps"),
-        F.count_if(ASSISTANT & (F.col("tool_call_count") == 0)).alias("no_tool_steps"),
-        F.count_if(ASSISTANT & F.col("patched")).alias("patch_steps"),
+        F.count_if(assistant() & (F.col("tool_call_count") >= 2)).alias("multi_tool_steps"),
+        F.count_if(assistant() & (F.col("tool_call_count") == 0)).alias("no_tool_steps"),
+        F.count_if(assistant() & F.col("patched")).alias("patch_steps"),
         _bigint_sum(ft.usable(F.col("tokens.total"))).alias("_tokens"),
         wall_clock_columns().alias("_wall"),
     )
@@ -252,13 +253,13 @@ def breakdowns(steps: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def efficiency_stats(steps: DataFrame) -> DataFrame:
-    users, assistants = F.count_if(F.col("role") == "user"), F.count_if(ASSISTANT)
+    users, assistants = F.count_if(F.col("role") == "user"), F.count_if(assistant())
     turns = steps.groupBy("traj_id").agg(
         users.alias("user_turns"), assistants.alias("assistant_turns"),
         F.when(users + assistants > 0, assistants / (users + assistants)).alias("autonomy_ratio"),
     )
     ranks = nearest_rank(
-        steps.filter(ASSISTANT), ["traj_id"], F.col("duration"),
+        steps.filter(assistant()), ["traj_id"], F.col("duration"),
         {"p50_duration": 0.5, "p90_duration": 0.9, "p99_duration": 0.99},
     )
     return turns.join(ranks, "traj_id", "left")
@@ -275,7 +276,7 @@ def command_metrics(calls: DataFrame) -> DataFrame:
 def response_latency(steps: DataFrame) -> DataFrame:
     """First user stamp to the first and the last completed assistant answer, in seconds."""
     asked = F.when((F.col("role") == "user") & F.col("time_created_ms").isNotNull(), F.col("step_idx"))
-    done = F.when(ASSISTANT & F.col("time_completed_ms").isNotNull(), F.col("step_idx"))
+    done = F.when(assistant() & F.col("time_completed_ms").isNotNull(), F.col("step_idx"))
     start = F.min_by("time_created_ms", asked)
     return steps.groupBy("traj_id").agg(
         ((F.min_by("time_completed_ms", done) - start) / 1000).alias("first_response_s"),
@@ -284,9 +285,9 @@ def response_latency(steps: DataFrame) -> DataFrame:
 
 
 def throughput_columns() -> list[Column]:
-    timed = ASSISTANT & (F.col("duration") > 0) & (F.col("tokens.output") >= 0) & (F.col("generation_ms") > 0)
+    timed = assistant() & (F.col("duration") > 0) & (F.col("tokens.output") >= 0) & (F.col("generation_ms") > 0)
     tokens, seconds = F.sum(F.when(timed, F.col("tokens.output"))), F.sum(F.when(timed, F.col("generation_ms"))) / 1000
-    n, whole = F.count_if(timed), F.count_if(ASSISTANT)
+    n, whole = F.count_if(timed), F.count_if(assistant())
     return [
         F.when((seconds > 0) & (tokens > 0), tokens / seconds).alias("output_tokens_per_sec"),
         n.alias("timed_steps"), whole.alias("assistant_steps"),
@@ -399,9 +400,9 @@ def health_verdicts(scorecard: DataFrame) -> DataFrame:
 
 def agent_info(steps: DataFrame) -> DataFrame:
     """Model and provider of the last assistant step naming a model; first named agent."""
-    named = F.when(ASSISTANT & (F.col("model_id") != ""), F.col("step_idx"))
-    vendor = F.when(ASSISTANT & (F.col("model_id") != "") & (F.col("provider_id") != ""), F.col("step_idx"))
-    with_model = F.when(ASSISTANT & (F.col("model_id") != "") & (F.col("agent") != ""), F.col("step_idx"))
+    named = F.when(assistant() & (F.col("model_id") != ""), F.col("step_idx"))
+    vendor = F.when(assistant() & (F.col("model_id") != "") & (F.col("provider_id") != ""), F.col("step_idx"))
+    with_model = F.when(assistant() & (F.col("model_id") != "") & (F.col("agent") != ""), F.col("step_idx"))
     any_agent = F.when(F.col("agent") != "", F.col("step_idx"))
     return steps.groupBy("traj_id").agg(
         F.coalesce(F.max_by("model_id", named), F.lit("")).alias("model_id"),
@@ -415,7 +416,7 @@ def agent_summary(steps: DataFrame, spawns: DataFrame | None = None, calls: Data
 
     ``spawns`` (traj_id, agent_id, spawned_by) and ``calls`` add the step that started the agent.
     """
-    rows = steps.filter(ASSISTANT).withColumn("agent_id", agents.effective_agent())
+    rows = steps.filter(assistant()).withColumn("agent_id", agents.effective_agent())
     out = rows.groupBy("traj_id", "agent_id").agg(
         *token_sums(),
         F.count("*").alias("steps"),
@@ -463,7 +464,7 @@ def agent_insights(summary: DataFrame) -> DataFrame:
 def scorecard(steps: DataFrame, calls: DataFrame) -> DataFrame:
     """The headline row per run, from one pass over steps joined with their calls."""
     rows = cache_columns(with_calls(steps, calls))
-    rated = ASSISTANT & (F.col("tokens.total") > 0)
+    rated = assistant() & (F.col("tokens.total") > 0)
     mean = (F.sum(F.when(rated, F.col("share")).cast("decimal(20,15)")) / F.count(F.when(rated, F.col("share")))).cast("double")
     return rows.groupBy("traj_id").agg(
         F.count("*").alias("steps"),

@@ -12,7 +12,8 @@ from runloom.functions import calls as fc
 from runloom.operators.slices import SLICE, carry, islands, neighbours, running, with_slice
 
 STEP = ["traj_id", "slice", "step_idx"]
-ASSISTANT = F.col("role") == "assistant"
+def assistant() -> Column:
+    return F.col("role") == "assistant"
 
 
 def first_steps(steps: DataFrame, limit: int | None) -> DataFrame:
@@ -51,7 +52,7 @@ def step_phases(steps: DataFrame, calls: DataFrame, parts: DataFrame) -> DataFra
     rows = steps.select(*STEP, "role", "finish", "tool_call_count").join(step_flags(calls), STEP, "left")
     rows = rows.join(snapshots, STEP, "left")
     phase = (
-        F.when(~ASSISTANT, "unknown")
+        F.when(~assistant(), "unknown")
         .when(F.col("snapshot"), "plan")
         .when(F.col("plans"), "plan")
         .when(F.col("writes"), "implement")
@@ -105,7 +106,7 @@ def phase_anomalies(steps: DataFrame, phases: DataFrame, segments: DataFrame) ->
 def failure_chains(steps: DataFrame, calls: DataFrame) -> DataFrame:
     """Maximal runs of consecutive assistant steps with a failure; user steps do not break a run."""
     failing = calls.filter(fc.failed()).select(*STEP).distinct().withColumn("_f", F.lit(True))
-    rows = steps.filter(ASSISTANT).select(*STEP, "error_count").join(failing, STEP, "left")
+    rows = steps.filter(assistant()).select(*STEP, "error_count").join(failing, STEP, "left")
     rows = rows.select(*STEP, ((F.col("error_count") > 0) | F.coalesce("_f", F.lit(False))).alias("bad"))
     chains = islands(rows, ["bad"]).filter("bad")
     return chains.groupBy("traj_id", F.col("island").alias("start")).agg(
@@ -114,7 +115,7 @@ def failure_chains(steps: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def failure_chain_metrics(steps: DataFrame, chains: DataFrame) -> DataFrame:
-    whole = steps.groupBy("traj_id").agg(F.count_if(ASSISTANT).alias("_n"))
+    whole = steps.groupBy("traj_id").agg(F.count_if(assistant()).alias("_n"))
     sums = chains.groupBy("traj_id").agg(
         F.count("*").alias("chains"), F.sum("length").alias("chain_steps"), F.max("length").alias("longest")
     )

@@ -92,3 +92,54 @@ EXPLICIT_KINDS = ("compaction_part", "compaction_message", "summary", "compress_
 BUCKETS = (
     "system", "tools", "rules", "skills", "mcp", "subagents", "summarized", "conversation", "tool_outputs",
 )
+
+# How tools and shell commands map to action types when runs are compared.
+COMPARE_SEARCH_TOOLS = ("Glob", "glob", "Grep", "grep", "find", "ToolSearch")
+COMPARE_READ_TOOLS = ("Read", "read")
+COMPARE_SPAWN_TOOLS = ("Agent", "agent", "subagent", "subagent_fork")
+COMPARE_PLAN_TOOLS = ("todowrite", "TodoWrite", "TaskCreate", "TaskUpdate", "TaskList")
+NAVIGATION_COMMANDS = ("cd", "pwd", "ls", "echo", "export", "set", "source")
+SHELL_SEARCH = ("grep", "rg", "ag", "find")
+SHELL_READ = ("cat", "head", "tail", "less", "sed", "awk")
+SHELL_WRITE = ("tee",)
+SED_IN_PLACE = r"(?:^|\s)(?:-i\S*|--in-place\b)"
+AWK_IN_PLACE = r"(?:^|\s)(?:-i\s+inplace\b|--in-place\b)"
+# Path fragments of test files; imports in file text; words of validation commands.
+TEST_FRAGMENTS = ("test_", "_test.", ".test.", "spec_", "_spec.", ".spec.", "tests/", "__tests__/")
+IMPORT_PATTERN = (
+    r"""(?m)(?:import\s+.*?from\s+['"]([^'"]+)['"]|require\s*\(\s*['"]([^'"]+)['"]"""
+    r"""|from\s+([\w.]+)\s+import|import\s+([\w.]+))"""
+)
+VALIDATION_WORDS = ("test", "build", "lint", "check", "verify")
+TOKEN_RATE = 50.0
+# Thresholds of the evaluation layers, (layer, metric, lower is better, good, warn).
+LAYER_THRESHOLDS = (
+    ("file_selection", "anchor_write_precision", False, 0.75, 0.50),
+    ("file_selection", "off_patch_write_ratio", True, 0.25, 0.50),
+    ("file_selection", "broad_exploration_count", True, 3.0, 8.0),
+    ("edit_stability", "reverted_and_rewritten_count", True, 2.0, 5.0),
+    ("edit_stability", "iterative_refinement_count", True, 3.0, 8.0),
+    ("edit_stability", "error_recovery_count", True, 1.0, 3.0),
+    ("completion_quality", "anchor_write_recall", False, 0.50, 0.25),
+    ("completion_quality", "dead_end_branch_count", True, 1.0, 3.0),
+)
+# File classes by path, first match wins; '*' also crosses '/'.
+FILE_CLASSES = (
+    ("**/testdata/**", "fixture"),
+    ("**/fixtures/**", "fixture"),
+    ("**/*after_roundtrip*", "fixture"),
+    ("**/*_test.go", "test"),
+    ("**/*_test.py", "test"),
+    ("**/test_*.py", "test"),
+    ("**/*_spec.ts", "test"),
+    ("**/*_spec.js", "test"),
+    ("**/__tests__/**", "test"),
+    ("**/test/e2e*/**", "test"),
+    ("**/test/integration/**", "test"),
+    ("**/zz_generated.*", "generated"),
+    ("**/*.pb.go", "generated"),
+    ("**/openapi-spec/**", "spec"),
+    ("**/*swagger*", "spec"),
+    ("**/*.proto", "spec"),
+    ("**/compatibility_lifecycle/**", "fixture"),
+)
