@@ -180,7 +180,7 @@ EXTRA = """, ex AS (SELECT cm.*, row_number() OVER (PARTITION BY cm.g ORDER BY s
    UNION ALL SELECT g, 'broad_exploration', NULL, step_idx, step_idx, 1, share, 0.5 FROM t6 WHERE broad
    UNION ALL SELECT g, 'dead_end_branch', NULL, a, b, n, CAST(tok AS BIGINT), least(0.8, 0.5 + n * 0.1) FROM de
    UNION ALL SELECT g, 'ordering_inefficiency', NULL, first_step, last_step, common, 0, least(0.9, 0.5 + inversions / possible::DOUBLE * 0.4) FROM oe WHERE inversions >= threshold)"""
-EXTRA = EXTRA.replace("PREMATURE", "0.7").replace("REDUNDANT", "0.6")
+EXTRA = EXTRA.replace("PREMATURE", "0.5").replace("REDUNDANT", "0.7")
 
 PATTERN_SQL = """ SELECT CAST(g AS VARCHAR) AS group_key, type, parent_type, first_step, last_step, steps::BIGINT AS steps, tokens::BIGINT AS tokens, round(confidence, 2)::DOUBLE AS confidence FROM pt"""
 

@@ -38,7 +38,10 @@ def _shell_kind(base: Column, command: Column) -> Column:
 
 def reduced(command: Column) -> Column:
     """Finer action of a piped command, by its last stage; null when that stage tells nothing."""
-    last = F.trim(F.element_at(F.split(command, r"\|"), -1))
+    return paths.let(F.trim(F.substring_index(command, "|", -1)), _reduced_stage)
+
+
+def _reduced_stage(last: Column) -> Column:
     kind = _shell_kind(F.split(last, r"\s+")[0], last)
     first = F.get(fc.shell_paths(last), F.lit(0))
     scope = F.coalesce(paths.target(first), F.lit(""))
@@ -53,15 +56,27 @@ def actions(steps: DataFrame, calls: DataFrame, parts: DataFrame, labels: DataFr
     Step tokens are split over the step's non-REASON actions, the remainder going to the first.
     """
     command = F.coalesce("input.command", F.lit(""))
-    base = fc.base_command(command)
+    # One projection for what the rules below use repeatedly.
+    calls = calls.withColumns(
+        {"_base": fc.base_command(command), "_first": F.get(fc.shell_paths(command), F.lit(0)), "_arg": _first_argument(command)}
+    )
+    base, first = F.col("_base"), F.col("_first")
     text = lambda *keys: F.coalesce(*[F.when(F.col(f"input.{k}") != "", F.col(f"input.{k}")) for k in keys], F.lit(""))
     shell = fc.is_tool(vocab.BASH_TOOLS)
     plain = ~command.contains("|")
     kind = _shell_kind(base, command)
-    first = F.get(fc.shell_paths(command), F.lit(0))
-    scope = F.coalesce(paths.target(first), F.lit(""))
     nav = shell & base.isin(*vocab.NAVIGATION_COMMANDS)
     mapped = shell & plain & kind.isNotNull()
+    # The path a call is about, then one normalisation for all kinds.
+    path = (
+        F.when(fc.is_tool(vocab.COMPARE_READ_TOOLS), text("file_path", "filePath"))
+        .when(fc.is_tool(vocab.WRITE_TOOLS), F.coalesce(fc.write_path(), F.lit("")))
+        .when(fc.is_tool(vocab.COMPARE_SEARCH_TOOLS), text("path"))
+        .when(mapped, F.coalesce(first, F.lit("")))
+    )
+    calls = calls.withColumns({"_path": paths.target(path), "_mapped": mapped, "_kind": kind, "_nav": nav, "_shell": shell})
+    normal, mapped, kind = F.col("_path"), F.col("_mapped"), F.col("_kind")
+    nav, shell = F.col("_nav"), F.col("_shell")
     action_type = (
         F.when(fc.is_tool(vocab.COMPARE_READ_TOOLS), "FILE_READ")
         .when(fc.is_tool(vocab.WRITE_TOOLS), "FILE_WRITE")
@@ -74,12 +89,11 @@ def actions(steps: DataFrame, calls: DataFrame, parts: DataFrame, labels: DataFr
         .otherwise("COMMAND")
     )
     target = (
-        F.when(fc.is_tool(vocab.COMPARE_READ_TOOLS), paths.target(text("file_path", "filePath")))
-        .when(fc.is_tool(vocab.WRITE_TOOLS), paths.target(F.coalesce(fc.write_path(), F.lit(""))))
-        .when(fc.is_tool(vocab.COMPARE_SEARCH_TOOLS), _search_target(text("pattern"), paths.target(text("path"))))
+        F.when(fc.is_tool(vocab.COMPARE_READ_TOOLS + vocab.WRITE_TOOLS), normal)
+        .when(fc.is_tool(vocab.COMPARE_SEARCH_TOOLS), _search_target(text("pattern"), normal))
         .when(nav, "")
-        .when(mapped & (kind == "SEARCH"), _search_target(_first_argument(command), scope))
-        .when(mapped & first.isNotNull(), paths.target(first))
+        .when(mapped & (kind == "SEARCH"), _search_target(F.col("_arg"), normal))
+        .when(mapped & (normal != ""), normal)
         .when(shell, base)
         .when(fc.is_tool(vocab.COMPARE_SPAWN_TOOLS), F.substring(text("description", "prompt"), 1, 80))
         .when(fc.is_tool(vocab.COMPARE_PLAN_TOOLS), "")

@@ -134,7 +134,7 @@ def align(ref: DataFrame, cmp: DataFrame, fuzzy: bool = False, cells: int = CELL
         return df.withColumn("fuzzy_target", F.coalesce(finer["target"], blank) if fuzzy else blank).select(*SIDE)
 
     rows = side(ref, 0).unionByName(side(cmp, 1))
-    sizes = rows.groupBy("group_key").agg(F.count_if("side = 0").alias("n"), F.count_if("side = 1").alias("m"))
+    sizes = rows.groupBy("group_key").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
     sizes = sizes.withColumn("big", F.col("n") * F.col("m") > cells)
     small = rows.join(sizes.filter("not big").select("group_key"), "group_key", "left_semi")
     out = small.groupBy("group_key").applyInPandas(_align_small, MATCHED)

@@ -117,7 +117,7 @@ def divergence_patterns(ref: DataFrame, cmp: DataFrame, matched: DataFrame, anch
     rows = rows.join(first_write, "group_key", "left")
     early = ~F.col("taken") & (F.col("action_type") == "COMMAND") & F.coalesce(F.col("step_idx") < F.col("_fw"), F.lit(False)) & word
     rows = rows.withColumn("early", early)
-    premature = _pattern(rows.filter("early"), "premature_validation", 0.7, _named("COMMAND", " before first write"))
+    premature = _pattern(rows.filter("early"), "premature_validation", 0.5, _named("COMMAND", " before first write"))
     rows = rows.withColumn("taken", F.col("taken") | F.col("early"))
     partner = cmp.join(matched.select("group_key", F.col("cmp_seq").alias("seq")), ["group_key", "seq"], "left_semi")
     found = partner.filter("action_type = 'SEARCH'").select("group_key", "target").distinct().withColumn("_m", F.lit(True))
@@ -125,7 +125,7 @@ def divergence_patterns(ref: DataFrame, cmp: DataFrame, matched: DataFrame, anch
     first = rows.filter(search).groupBy("group_key", "target").agg(F.min("extra").alias("_first"))
     rows = rows.join(found, ["group_key", "target"], "left").join(first, ["group_key", "target"], "left")
     rows = rows.withColumn("again", search & (F.coalesce("_m", F.lit(False)) | (F.col("extra") > F.col("_first"))))
-    redundant = _pattern(rows.filter("again"), "redundant_search", 0.6, _named("SEARCH", " repeated"))
+    redundant = _pattern(rows.filter("again"), "redundant_search", 0.7, _named("SEARCH", " repeated"))
     rows = rows.withColumn("taken", F.col("taken") | F.coalesce("again", F.lit(False)))
     later = partner.groupBy("group_key", "target").agg(F.max("step_idx").alias("_later"))
     rows = rows.join(later, ["group_key", "target"], "left")

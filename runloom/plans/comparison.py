@@ -23,7 +23,7 @@ class Pairs:
 
 def labelled(steps: DataFrame, calls: DataFrame, parts: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Numbered non-REASON actions with effects, written once; every comparison reads them several times."""
-    acts = ac.actions(steps, calls, parts)
+    acts = cut_lineage(ac.actions(steps, calls, parts))
     return cut_lineage(al.numbered(ac.with_effects(acts, calls, parts, anchors)))
 
 
