@@ -167,7 +167,7 @@ EXTRA = """, ex AS (SELECT cm.*, row_number() OVER (PARTITION BY cm.g ORDER BY s
  t4 AS (SELECT t3.*, sq AND (e > min(CASE WHEN sq THEN e END) OVER (PARTITION BY g, target) OR EXISTS (SELECT 1 FROM cm w JOIN al ON al.g = w.g AND cmp_seq = w.seq WHERE w.g = t3.g AND w.kind = 'SEARCH' AND w.target = t3.target)) AS again FROM t3),
  t5 AS (SELECT t4.*, NOT (k1 OR early OR again) AND kind = 'FILE_READ' AND effect = 'unknown' AND NOT EXISTS (SELECT 1 FROM cm w JOIN al ON al.g = w.g AND cmp_seq = w.seq WHERE w.g = t4.g AND w.target = t4.target AND w.step_idx > t4.step_idx) AS broad FROM t4),
  t6 AS (SELECT *, NOT (k1 OR early OR again OR broad) AND kind IN ('FILE_READ', 'SEARCH') AND effect = 'unknown' AS idle FROM t5),
- de AS (SELECT g, min(step_idx) AS a, max(step_idx) AS b, count(*) AS n, sum(share) AS tok FROM (SELECT *, e - row_number() OVER (PARTITION BY g, idle ORDER BY e) AS isl FROM t6) WHERE idle GROUP BY g, isl HAVING count(*) >= 2),
+ de AS (SELECT g, min(step_idx) AS a, max(step_idx) AS b, count(*) AS n, sum(share) AS tok FROM (SELECT *, e - row_number() OVER (PARTITION BY g, idle ORDER BY e) AS dead FROM t6) WHERE idle GROUP BY g, dead HAVING count(*) >= 2),
  fu AS (SELECT r.g, r.f AS r, c.f AS c, c.s FROM (SELECT g, kind, target, min(seq) AS f FROM rf GROUP BY ALL) r JOIN (SELECT g, kind, target, min(seq) AS f, arg_min(step_idx, seq) AS s FROM cm GROUP BY ALL) c ON c.g = r.g AND c.kind = r.kind AND c.target = r.target),
  iv AS (SELECT a.g, count(*) AS inv FROM fu a JOIN fu b ON a.g = b.g AND a.c < b.c AND a.r > b.r GROUP BY a.g),
  od AS (SELECT fu.g, count(*) AS common, any_value(coalesce(inv, 0)) AS inversions, min(s) AS first_step, max(s) AS last_step FROM fu LEFT JOIN iv ON iv.g = fu.g GROUP BY fu.g HAVING count(*) >= 3),
