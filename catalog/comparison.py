@@ -240,11 +240,11 @@ def i11(spark, d):
     return dv.milestone_deltas(*cp.pair_milestones(p, cp.run_targets(runs.calls, runs.parts)))
 
 
-@query("i12_segments", events_sql(ACTS + MILE + """, bd AS (SELECT traj_id, name, at, rank FROM (SELECT traj_id, 'first_relevant_file' AS name, first_relevant_file AS at, 0 AS rank FROM ml UNION ALL SELECT traj_id, 'first_edit', first_edit, 1 FROM ml
-    UNION ALL SELECT traj_id, 'first_surviving_edit', first_surviving_edit, 2 FROM ml UNION ALL SELECT traj_id, 'first_passing_validation', first_passing_validation, 3 FROM ml UNION ALL SELECT traj_id, 'final_patch', final_patch, 4 FROM ml) WHERE at IS NOT NULL),
+@query("i12_segments", events_sql(ACTS + MILE + """, bd AS (SELECT traj_id, name, pos, rank FROM (SELECT traj_id, 'first_relevant_file' AS name, first_relevant_file AS pos, 0 AS rank FROM ml UNION ALL SELECT traj_id, 'first_edit', first_edit, 1 FROM ml
+    UNION ALL SELECT traj_id, 'first_surviving_edit', first_surviving_edit, 2 FROM ml UNION ALL SELECT traj_id, 'first_passing_validation', first_passing_validation, 3 FROM ml UNION ALL SELECT traj_id, 'final_patch', final_patch, 4 FROM ml) WHERE pos IS NOT NULL),
   be AS (SELECT * FROM bd UNION ALL SELECT traj_id, 'start', 0, -1 FROM ml UNION ALL SELECT traj_id, 'end', max(step_idx) + 1, 9 FROM ef GROUP BY traj_id),
-  bs AS (SELECT *, CASE rank WHEN -1 THEN -1 WHEN 9 THEN 9999999 ELSE at END AS o FROM be),
-  sg AS (SELECT traj_id, row_number() OVER w AS seg, name || ' → ' || lead(name) OVER w AS label, at AS start_step, lead(at) OVER w AS end_step, rank FROM bs WINDOW w AS (PARTITION BY traj_id ORDER BY o, rank))
+  bs AS (SELECT *, CASE rank WHEN -1 THEN -1 WHEN 9 THEN 9999999 ELSE pos END AS o FROM be),
+  sg AS (SELECT traj_id, row_number() OVER w AS seg, name || ' → ' || lead(name) OVER w AS label, pos AS start_step, lead(pos) OVER w AS end_step, rank FROM bs WINDOW w AS (PARTITION BY traj_id ORDER BY o, rank))
   SELECT traj_id, seg, label, start_step, end_step FROM sg WHERE rank <> 9"""))
 def i12(spark, d):
     runs, acts = staged(spark, d)
