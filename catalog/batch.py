@@ -152,14 +152,6 @@ def group_pairs(spark, d):
     return runs, acts, members(spark, d)
 
 
-@query("n03_f1_matrix", None)
-def n03(spark, d):
-    runs, acts, group = group_pairs(spark, d)
-    both = cut_lineage(g.run_pairs(group))
-    p = cp.compare(acts, both.select("group_key", "reference", "compared"))
-    return g.f1_matrix(both, dv.similarity(p.ref, p.cmp, p.matched))
-
-
 @query("n08_group_waste", None)
 def n08(spark, d):
     """Divergence patterns of every run against the first run of its group."""
@@ -235,3 +227,40 @@ def s37(spark, d):
     return lb.valid_labels(rows, known).select("traj_id", "step_idx", "valid")
 
 
+
+
+GROUP_PAIR = PAIR.replace(
+    "SELECT a.traj_id // 2 AS g,", "SELECT a.traj_id * 100000 + b.traj_id AS g,"
+).replace("ON b.traj_id = a.traj_id + 1 WHERE a.traj_id % 2 = 0", "ON b.traj_id // 5 = a.traj_id // 5 AND a.traj_id < b.traj_id")
+
+
+@query("n03_f1_matrix", events_sql(GROUP_PAIR + SIM + """ SELECT reference // 5 AS group_id, reference, compared, CASE WHEN recall + precision > 0 THEN 2 * precision * recall / (recall + precision) ELSE 0 END AS f1 FROM pr JOIN si ON si.g = pr.g"""))
+def n03(spark, d):
+    runs, acts, group = group_pairs(spark, d)
+    both = cut_lineage(g.run_pairs(group))
+    p = cp.compare(acts, both.select("group_key", "reference", "compared"))
+    return g.f1_matrix(both, dv.similarity(p.ref, p.cmp, p.matched))
+
+
+@query("i21_pair_notes", events_sql(PAIR + """, ok AS (SELECT traj_id, coalesce(arg_max(finish, step_idx) FILTER (NOT is_user) = 'stop', false) AS s, count(*) AS n, CAST(sum(cents) AS BIGINT) AS t FROM st GROUP BY 1),
+  sw AS (SELECT traj_id, string_agg(DISTINCT target, ',' ORDER BY target) AS w FROM ef WHERE kind = 'FILE_WRITE' AND effect = 'survived' GROUP BY 1)
+  SELECT CAST(g AS VARCHAR) AS group_key, a.s AS reference_success, b.s AS compared_success, a.n AS reference_steps, b.n AS compared_steps, a.t AS reference_tokens, b.t AS compared_tokens,
+   CASE WHEN a.s <> b.s THEN 'different outcomes' WHEN x.w IS DISTINCT FROM y.w THEN 'different files modified' END AS note
+  FROM pr JOIN ok a ON a.traj_id = reference JOIN ok b ON b.traj_id = compared LEFT JOIN sw x ON x.traj_id = reference LEFT JOIN sw y ON y.traj_id = compared"""))
+def i21n(spark, d):
+    from runloom.plans.comparison import report, run_targets
+
+    runs, p = pairs(spark, d)
+    out = report(p, runs.steps, runs.calls, run_targets(runs.calls, runs.parts))
+    return out.select("group_key", "reference_success", "compared_success", "reference_steps", "compared_steps", "reference_tokens", "compared_tokens", "note")
+
+
+@query("i23_batch_errors", events_sql(PAIR + " SELECT CAST(g AS VARCHAR) AS group_key, CASE WHEN g % 10 = 0 THEN 'run without steps' END AS error FROM pr"))
+def i23(spark, d):
+    """A task whose run is missing fails alone; the others are reported."""
+    from runloom.plans.comparison import compare, report, run_targets
+
+    runs, acts = staged(spark, d)
+    gone = F.when(F.col("group_key").cast("bigint") % 10 == 0, F.col("compared") + 10_000_000).otherwise(F.col("compared"))
+    p = compare(acts, manifest(spark, d).withColumn("compared", gone))
+    return report(p, runs.steps, runs.calls, run_targets(runs.calls, runs.parts)).select("group_key", "error")
