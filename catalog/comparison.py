@@ -25,7 +25,7 @@ def anchors(spark, d):
 
 
 def staged(spark, d):
-    runs = event_runs(spark, d)
+    runs = event_runs(spark, d, once=True)
     return runs, cp.labelled(runs.steps, runs.calls, runs.parts)
 
 

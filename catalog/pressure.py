@@ -11,7 +11,7 @@ from runloom.sources.bridges import event_runs
 
 def stage(spark, d):
     """Bridge runs, their occupancy table and compaction signals; the tables are reused several times."""
-    runs = event_runs(spark, d)
+    runs = event_runs(spark, d, once=True)
     occ = cut_lineage(p.occupancy(runs.steps))
     return runs, occ
 

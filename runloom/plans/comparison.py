@@ -101,7 +101,7 @@ def report(pairs: Pairs, steps: DataFrame, calls: DataFrame, targets: DataFrame,
     for name in ("reference", "compared"):
         named = ends.select(F.col("traj_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("success", "steps", "tokens", "tool_calls")])
         out = out.join(named, name, "left")
-    patterns = dv.divergence_patterns(pairs.ref, pairs.cmp, pairs.matched)
+    patterns = cut_lineage(dv.divergence_patterns(pairs.ref, pairs.cmp, pairs.matched))
     out = out.join(dv.similarity(pairs.ref, pairs.cmp, pairs.matched), "group_key", "left")
     out = out.join(dv.harmful(pairs.cmp, pairs.matched, patterns), "group_key", "left")
     out = out.join(dv.milestone_deltas(*pair_milestones(pairs, targets)), "group_key", "left")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators.slices import dense_index, with_slice
 from runloom.schema import CALLS, INPUT, INPUT_TEXT, PARTS, STEPS
-from runloom.session import prepare
+from runloom.session import cut_lineage, prepare
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,11 @@ def event_rows(spark: SparkSession, folder: str, indexed: bool = True) -> DataFr
     )
 
 
-def event_runs(spark: SparkSession, folder: str, indexed: bool = True) -> Runs:
+def event_runs(spark: SparkSession, folder: str, indexed: bool = True, once: bool = False) -> Runs:
+    """``once`` writes the numbered rows first, for queries that read steps, calls and parts many times."""
     rows = event_rows(spark, folder, indexed)
+    if once:
+        rows = cut_lineage(rows)
     k, cents, run = F.col("k"), F.col("cents"), F.col("traj_id")
     user = F.col("role") == "user"
     cache = F.floor(cents * 6 / 10).cast("bigint")
