@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import archive, bpe, token_files
+from runloom.llm import archive, bpe, multi_index, sampling, simhash, token_files
 from runloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,3 +49,19 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write(table(spark, folder, "documents"), path, TOKENIZER)
     return token_files.with_crc(token_files.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return multi_index.nearest(table(spark, folder, "embeddings"), every=20, top=20)
+
+
+@query
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sampling.with_successor(table(spark, folder, "documents"))
