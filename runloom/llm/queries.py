@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import archive, bpe, multi_index, sampling, simhash, token_files
+from runloom.llm import archive, bpe, multi_index, sampling, shards, simhash, token_files
 from runloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,13 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+@query
+def op1_shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shards.shard(table(spark, folder, "documents").select("doc_id", "text"), 40)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rows = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), TOKENIZER).select("doc_id", "ids"), TOKENIZER)
