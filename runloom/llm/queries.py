@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import archive, bpe, multi_index, sampling, shards, simhash, token_files
+from runloom.llm import archive, bpe, multi_index, packing, sampling, shards, simhash, token_files
 from runloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,11 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), TOKENIZER, size=1024, end_id=2)
+
+
 @query
 def op8_archive(spark: SparkSession, folder: str) -> DataFrame:
     rows = archive.fields(archive.restore(spark, archive.write(table(spark, folder, "pages"))))
