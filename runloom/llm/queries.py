@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import archive, bpe, multi_index, packing, sampling, shards, simhash, token_files
+from runloom.llm import archive, bpe, line_quality, multi_index, packing, sampling, shards, simhash, token_files, toxicity
 from runloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,6 +63,13 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.with_crc(token_files.read(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels"), parts=5, held_out=0))
+    return rows.select("doc_id", (toxicity.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.nearest(table(spark, folder, "embeddings"), every=20, top=20)
@@ -77,3 +84,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.with_successor(table(spark, folder, "documents"))
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = line_quality.score(docs, line_quality.train(docs, table(spark, folder, "labels"), parts=4, held_out=2))
+    return rows.select("doc_id", (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
