@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from runloom.llm.common import extend, texts
-from runloom.llm.encoders import WORD, Memo, TextEncoder, byte_letters
+from runloom.llm.encoders import Memo, TextEncoder, byte_letters, words
 
 SPACE = frozenset(b"\t\n\v\f\r ")
 
@@ -80,8 +80,8 @@ class ForcedBoundaryEncoder(TextEncoder):
 
     def chunk(self, data: bytes) -> bytes:
         out, inside = [], self.inside
-        for word in WORD.findall(data.decode()):
-            raw, start = word.encode(), 0
+        for raw in words(data):
+            start = 0
             for i in range(1, len(raw)):
                 if not inside[raw[i - 1]][raw[i]]:
                     out.append(self.fragments[raw[start:i]])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -17,8 +18,10 @@ from tokenizers import Tokenizer
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Fixed value: the word pattern of this kind of vocabulary (public, given with the tokenizer).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Entries kept per worker and memo; a full memo starts anew, so memory stays bounded.
-MEMO = 400_000
+#: Entries of each of a memo's two generations, per worker: the bound of its memory.
+MEMO = 300_000
+#: The same pattern over ASCII bytes, what is frequent first (a word or number can't begin with an apostrophe).
+ASCII_WORD = re.compile(rb" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
 
 @lru_cache(1)
@@ -29,16 +32,24 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
 
 
+def words(data: bytes) -> list[bytes]:
+    """A chunk's words."""
+    return ASCII_WORD.findall(data) if data.isascii() else [w.encode() for w in WORD.findall(data.decode())]
+
+
 class Memo(dict):
-    """What ``make`` gives for a key, remembered for a bounded number of keys."""
+    """What ``make`` gives for a key, remembered for the ``size`` keys last made and those used of the ``size`` before."""
 
     def __init__(self, make, size: int = MEMO):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.before = make, size, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.size:
+            self.before = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -71,15 +82,16 @@ class LibraryEncoder(TextEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.model = Tokenizer.from_file(path).model
-        self.letters = str.maketrans({b: letter for b, letter in enumerate(byte_letters())})
-        self.words = Memo(self.word)
+        self.model, self.letters = Tokenizer.from_file(path).model, byte_letters()
+        self.parts = Memo(lambda word: self.chunks.get(word) or self.word(word))
 
-    def word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+    def word(self, word: bytes) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(charmap_decode(word, "strict", self.letters)[0])]).tobytes()
 
     def chunk(self, data: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, WORD.findall(data.decode())))
+        if data[0] == 32 and data[1:].isalpha():
+            return self.word(data)
+        return b"".join(map(self.parts.__getitem__, words(data)))
 
 
 @lru_cache(2)

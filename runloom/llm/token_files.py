@@ -50,7 +50,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_by
     (
         ordered.mapInArrow(run, FILE)
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(row_index_stride)).option("orc.stripe.size", str(stripe_bytes)).option("compression", "zstd").orc(path)
+        .option("orc.row.index.stride", str(row_index_stride)).option("orc.stripe.size", str(stripe_bytes)).option("compression", "lz4").orc(path)
     )
 
 
