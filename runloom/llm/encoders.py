@@ -19,7 +19,7 @@ CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Fixed value: the word pattern of this kind of vocabulary (public, given with the tokenizer).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Entries of each of a memo's two generations, per worker: the bound of its memory.
-MEMO = 300_000
+MEMO = 250_000
 #: The same pattern over ASCII bytes, what is frequent first (a word or number can't begin with an apostrophe).
 ASCII_WORD = re.compile(rb" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 

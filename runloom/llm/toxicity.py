@@ -33,7 +33,7 @@ SAMPLE = 3_000
 STRETCHES = (1, 6, 24)
 FEATURES = len(STRETCHES) + 2
 #: Scores of words kept per worker.
-MEMO = 400_000
+MEMO = 200_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
