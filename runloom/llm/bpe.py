@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from runloom.llm.common import extend, texts
 from runloom.llm.encoders import Memo, TextEncoder, byte_letters, words
 
+#: Bytes of ids decoded at once, if no single row has more.
+SLICE = 1 << 20
 SPACE = frozenset(b"\t\n\v\f\r ")
 
 
@@ -115,15 +117,27 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", into: str = "ids")
     return extend(df, [text], [T.StructField(into, T.BinaryType())], compute)
 
 
+def _texts_of(rows: list[bytes], vocabulary: pa.Array) -> list[str]:
+    """Texts of some rows' ids: their tokens' bytes lie in one buffer, cut where the rows end."""
+    tokens = vocabulary.take(pa.array(np.frombuffer(b"".join(rows), "<u4")))
+    if not len(tokens):
+        return [""] * len(rows)
+    ends, data = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1], memoryview(tokens.buffers()[2] or b"")
+    at = ends[np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])])].tolist()
+    return [str(data[a:b], "utf-8", "replace") for a, b in zip(at, at[1:])]
+
+
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with the text of binary ``ids`` in ``into``; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
 
     def compute(column):
-        rows = [r or b"" for r in column.to_pylist()]
-        tokens = token_bytes(tokenizer).take(pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int64)))
-        ends = np.frombuffer(tokens.buffers()[1], np.int64)[: len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
-        data = tokens.buffers()[2].to_pybytes() if len(tokens) and tokens.buffers()[2] else b""
-        at = ends[np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64)].tolist()
-        return [pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string())]
+        vocabulary, out, held, size = token_bytes(tokenizer), [], [], 0
+        for row in column:
+            held.append(row.as_py() or b"")
+            size += len(held[-1])
+            if size >= SLICE:
+                out += _texts_of(held, vocabulary)
+                held, size = [], 0
+        return [pa.array(out + _texts_of(held, vocabulary), pa.string())]
 
     return extend(df, [ids], [T.StructField(into, T.StringType())], compute)
