@@ -105,7 +105,7 @@ def p34(spark, d):
 
 
 ISSUES = CLUSTER + FAILS.replace(", fc AS", ", fcx AS").replace("FROM fc WHERE", "FROM fcx WHERE") + FRUIT + THRASH + PLAN + """, sgx AS (SELECT traj_id, step_idx, lower(tool_name) || ':' || pattern || '|' || path AS signature FROM fr WHERE fruitless),
- iz AS (SELECT traj_id, 'failure_pattern' AS kind, 'error' AS severity FROM cl WHERE error_class = 'tool' OR count >= 5
+ iz AS (SELECT traj_id, 'failure_pattern' AS kind, CASE WHEN error_class = 'system' THEN 'antipattern' ELSE 'error' END AS severity FROM cl
   UNION ALL SELECT traj_id, 'cascade', 'error' FROM ch WHERE length >= 2
   UNION ALL SELECT traj_id, 'fruitless', 'antipattern' FROM (SELECT traj_id, step_idx - row_number() OVER (PARTITION BY traj_id ORDER BY step_idx) AS g FROM fr WHERE fruitless) GROUP BY traj_id, g HAVING count(*) >= 3
   UNION ALL SELECT traj_id, 'edit_thrash', 'antipattern' FROM th
@@ -129,7 +129,7 @@ def k02(spark, d):
 @query("k04_issue_kpi", None)
 def k04(spark, d):
     runs = event_runs(spark, d)
-    return iss.issue_kpi(iss.issues(runs.steps, runs.calls))
+    return iss.issue_kpi(iss.issues(runs.steps, runs.calls), runs.steps)
 
 
 @query("t02_live_counters", events_sql("SELECT traj_id, epoch_us(time_bucket(INTERVAL 1 HOUR, make_timestamp(t_start * 1000))) AS start_us, count(*) AS calls, count(*) FILTER (failed OR coalesce(exit_code, 0) <> 0) AS failures FROM calls GROUP BY ALL"))

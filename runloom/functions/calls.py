@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runloom import vocab
+from runloom.functions.paths import strip
 
 def _filled(value: Column) -> Column:
     return F.when(value != "", value)
@@ -49,7 +50,7 @@ def write_path() -> Column:
 
 
 def skill_name() -> Column:
-    trimmed = [F.trim(F.col(f"input.{key}")) for key in vocab.SKILL_KEYS]
+    trimmed = [strip(F.col(f"input.{key}")) for key in vocab.SKILL_KEYS]
     named = F.coalesce(*[_filled(c) for c in trimmed], F.lit("(unnamed skill)"))
     return F.when(F.lower("tool_name").isin(*vocab.SKILL_TOOLS), named)
 
@@ -197,7 +198,7 @@ def runs_search(command: Column) -> Column:
 
 def chart_name() -> Column:
     """Tool label: shell calls go by their primary command."""
-    line = F.coalesce(F.when(F.trim("input.command") != "", F.col("input.command")), F.col("title"))
+    line = F.coalesce(F.when(strip(F.col("input.command")) != "", F.col("input.command")), F.col("title"))
     shell = primary_command(line)
     return F.when(is_tool(vocab.BASH_TOOLS) & (shell != ""), shell).otherwise(F.col("tool_name"))
 
@@ -208,13 +209,13 @@ def is_search() -> Column:
 
 
 def found_nothing() -> Column:
-    return F.trim(F.coalesce("output", F.lit(""))).isin(*vocab.EMPTY_OUTPUTS)
+    return strip(F.coalesce("output", F.lit(""))).isin(*vocab.EMPTY_OUTPUTS)
 
 
 def search_signature() -> Column:
     """What a search call asked for, comparable across calls; null when it is not a search."""
-    pattern = F.trim(F.coalesce("input.pattern", F.lit("")))
-    path = F.trim(F.coalesce("input.path", F.lit("")))
+    pattern = strip(F.coalesce("input.pattern", F.lit("")))
+    path = strip(F.coalesce("input.path", F.lit("")))
     asked = F.concat(pattern, F.lit("|"), path)
     command = squash(F.coalesce("input.command", F.lit("")))
     other = F.coalesce(*[_filled(F.col(f"input.{k}")) for k in ("pattern", "query", "path")], F.lit(""))

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` bound once, so repeated use does not copy its expression into the plan."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -45,7 +50,7 @@ def normal(path: Column) -> Column:
 def target(path: Column) -> Column:
     """Comparable form across Windows, WSL and POSIX spellings."""
     share = r"(?i)^//*(?:wsl\.localhost|wsl\$)/[^/]+(/home/.*)$"
-    flat = F.regexp_replace(slashes(F.trim(path)), share, "$1")
+    flat = F.regexp_replace(slashes(strip(path)), share, "$1")
     return normal(F.regexp_replace(flat, r"^[A-Za-z]:", ""))
 
 

@@ -19,9 +19,8 @@ CELLS = 16_000_000
 TILE = 2048
 # Effects that may stand for each other.
 EFFECTS = {"survived": 0, "justified": 1, "failed": 2, "reverted": 3, "unknown": 4}
-COMPATIBLE = np.array(
-    [[1, 1, 0, 0, 1], [1, 1, 0, 0, 1], [0, 0, 1, 0, 1], [0, 0, 0, 1, 1], [1, 1, 1, 1, 1]], dtype=bool
-)
+# Equal effects agree, unknown agrees with all, and an effect that lasted agrees with one that was justified.
+COMPATIBLE = np.array([[x == y or "unknown" in (x, y) or {x, y} == {"survived", "justified"} for y in EFFECTS] for x in EFFECTS])
 
 
 def numbered(acts: DataFrame) -> DataFrame:
@@ -31,49 +30,48 @@ def numbered(acts: DataFrame) -> DataFrame:
     return rows.withColumn("seq", (F.col("_n") - 1).cast("bigint")).drop("_n")
 
 
-def _same_path(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    if not a or not b:
-        return False
-    if a.endswith("/" + b) or b.endswith("/" + a):
-        return True
-    x, y = a.split("/")[-2:], b.split("/")[-2:]
-    return len(x) == 2 and x == y
+def _head(kind: pd.Series, target: pd.Series) -> pd.Series:
+    """What equivalent targets of a kind have in common: the search pattern, the file name, nothing for spawns, else all."""
+    pattern, name = target.str.replace(r"@[^@]*$", "", regex=True), target.str.rsplit("/", n=1).str[-1]
+    head = target.where(kind != "SEARCH", pattern).where(~kind.isin(["FILE_READ", "FILE_WRITE"]), name)
+    return head.where(kind != "AGENT_SPAWN", "")
 
 
-def _same_search(a: str, b: str) -> bool:
-    left, at, scope_a = a.rpartition("@")
-    pattern_a, scope_a = (left, scope_a) if at else (scope_a, "")
-    left, at, scope_b = b.rpartition("@")
-    pattern_b, scope_b = (left, scope_b) if at else (scope_b, "")
-    return pattern_a == pattern_b and (not scope_a or not scope_b or _same_path(scope_a, scope_b))
+def _path_of(kind: pd.Series, target: pd.Series) -> pd.Series:
+    """The path that decides between targets with one head: the file itself or the search's scope."""
+    scope = target.str.extract(r"@([^@]*)$", expand=False).fillna("")
+    return target.where(kind != "SEARCH", scope).where(kind.isin(["SEARCH", "FILE_READ", "FILE_WRITE"]), "")
 
 
-def _same(kind_a: str, target_a: str, kind_b: str, target_b: str) -> bool:
-    if kind_a != kind_b:
-        return False
-    if kind_a == "SEARCH":
-        return _same_search(target_a, target_b)
-    if kind_a in ("FILE_READ", "FILE_WRITE"):
-        return _same_path(target_a, target_b)
-    if kind_a == "AGENT_SPAWN":
-        return True
-    return target_a == target_b
+def _joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Equivalent keys (code_x, code_y) of both sides (code, kind, target): a join on kind and head, then the paths.
+
+    Paths agree if one ends in the other or both end in the same two parts; a search without scope fits any.
+    """
+    if left.empty or right.empty:
+        return pd.DataFrame({"code_x": [], "code_y": []})
+    sides = [df.assign(head=_head(df["kind"], df["target"]), path=_path_of(df["kind"], df["target"])) for df in (left, right)]
+    pairs = sides[0].merge(sides[1], on=["kind", "head"])
+    ends = lambda path: "/".join(path.split("/")[-2:]) if "/" in path else None
+    x, y = pairs["path_x"], pairs["path_y"]
+    inside = np.array([("/" + a).endswith("/" + b) or ("/" + b).endswith("/" + a) for a, b in zip(x, y)], dtype=bool)
+    two = (x.map(ends) == y.map(ends)).to_numpy(bool) & x.str.contains("/").to_numpy(bool)
+    empty = (x == "").to_numpy(bool) | (y == "").to_numpy(bool)
+    fits = np.where(empty, ((pairs["kind"] == "SEARCH") | (x == y)).to_numpy(bool), inside | two)
+    return pairs.loc[fits, ["code_x", "code_y"]]
 
 
 def _matches(ref: pd.DataFrame, cmp: pd.DataFrame) -> np.ndarray:
-    """Boolean match table. Only distinct (type, target) of both sides are compared in Python."""
+    """Boolean match table from joins of the distinct keys of both sides; commands also meet by their fuzzy key."""
     keys = ["action_type", "target", "fuzzy_type", "fuzzy_target"]
-    ref_code, ref_keys = pd.factorize(pd.MultiIndex.from_frame(ref[keys].fillna("")))
-    cmp_code, cmp_keys = pd.factorize(pd.MultiIndex.from_frame(cmp[keys].fillna("")))
-    table = np.zeros((len(ref_keys), len(cmp_keys)), dtype=bool)
-    for i, (ka, ta, fa, ga) in enumerate(ref_keys):
-        for j, (kb, tb, fb, gb) in enumerate(cmp_keys):
-            same = _same(ka, ta, kb, tb)
-            if not same and ka != kb and (ka == "COMMAND" or kb == "COMMAND"):
-                same = _same(fa, ga, kb, tb) if ka == "COMMAND" and fa else bool(fb) and kb == "COMMAND" and _same(ka, ta, fb, gb)
-            table[i, j] = same
+    (ref_code, a), (cmp_code, b) = (pd.factorize(pd.MultiIndex.from_frame(df[keys].fillna(""))) for df in (ref, cmp))
+    a, b = (pd.DataFrame(list(k), columns=keys).assign(code=range(len(k))) for k in (a, b))
+    plain = lambda df: df[["code", "action_type", "target"]].set_axis(["code", "kind", "target"], axis=1)
+    fuzzy = lambda df: df.loc[(df["action_type"] == "COMMAND") & (df["fuzzy_type"] != ""), ["code", "fuzzy_type", "fuzzy_target"]].set_axis(["code", "kind", "target"], axis=1)
+    other = lambda df: plain(df[df["action_type"] != "COMMAND"])
+    found = pd.concat([_joined(plain(a), plain(b)), _joined(fuzzy(a), other(b)), _joined(other(a), fuzzy(b))])
+    table = np.zeros((len(a), len(b)), dtype=bool)
+    table[found["code_x"].to_numpy(int), found["code_y"].to_numpy(int)] = True
     effects = COMPATIBLE[ref["effect"].map(EFFECTS).to_numpy()[:, None], cmp["effect"].map(EFFECTS).to_numpy()[None, :]]
     return table[ref_code[:, None], cmp_code[None, :]] & effects
 

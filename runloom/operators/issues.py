@@ -13,17 +13,18 @@ from runloom.operators import hotspots as h, sequence as s
 RANK = {"error": 0, "antipattern": 1, "bottleneck": 2}
 
 
-def _issue(rows: DataFrame, kind: str, severity: str, step: str, title: Column) -> DataFrame:
+def _issue(rows: DataFrame, kind: str, severity: str | Column, step: str, title: Column) -> DataFrame:
     return rows.select("traj_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col(step).alias("step_idx"), title.alias("title"))
 
 
 def issues(steps: DataFrame, calls: DataFrame, premature: DataFrame | None = None) -> DataFrame:
-    """One row per issue. Clusters of harness tools count from five failures on."""
+    """One row per issue. Failures of harness tools are antipatterns, from five on called frequent."""
     clusters = s.error_clusters(calls)
-    shown = clusters.filter("error_class = 'tool' or count >= 5")
-    often = F.when((F.col("error_class") == "system"), F.lit("Frequent ")).otherwise("")
+    system = F.col("error_class") == "system"
+    often = F.when(system & (F.col("count") >= 5), "Frequent system errors: ").when(system, "System error: ").otherwise("")
+    failures = _issue(clusters, "failure_pattern", F.when(system, "antipattern").otherwise("error"), "first_step", F.concat(often, F.format_string("%s: %s (%dx)", "tool", "pattern", "count")))
     found = [
-        _issue(shown, "failure_pattern", "error", "first_step", F.concat(often, F.format_string("%s: %s (%dx)", "tool", "pattern", "count"))),
+        failures,
         _issue(s.failure_chains(steps, calls).filter("length >= 2"), "cascade", "error", "start", F.format_string("%d failing steps in a row", "length")),
         _issue(s.fruitless_streaks(steps, calls), "fruitless", "antipattern", "start_step", F.format_string("%d fruitless search steps in a row", "length")),
         _issue(s.shell_reads(calls), "shell_read", "antipattern", "step_idx", F.concat(F.lit("shell used to read: "), "command")),
@@ -38,10 +39,10 @@ def issues(steps: DataFrame, calls: DataFrame, premature: DataFrame | None = Non
     return reduce(DataFrame.unionByName, found).withColumn("severity_rank", rank[F.col("severity")])
 
 
-def issue_kpi(found: DataFrame) -> DataFrame:
-    """Issues per run and severity with the overall status."""
-    n = F.count("*")
-    return found.groupBy("traj_id").agg(
+def issue_kpi(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """Issues per run and severity with the overall status; a run of ``runs`` without issues is good."""
+    n = F.count("severity")
+    return runs.select("traj_id").distinct().join(found, "traj_id", "left").groupBy("traj_id").agg(
         n.alias("issues"), *[F.count_if(F.col("severity") == k).alias(f"{k}s") for k in RANK],
         F.when(n == 0, "good").when(n < 3, "warn").otherwise("bad").alias("status"),
     )

@@ -36,11 +36,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back from there.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (a test) gets its own.
+    The folder comes from ``spark.checkpoint.dir``; only a single-process session without one (a test) gets its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="runloom-checkpoint-"))
     return df.checkpoint(eager=True)

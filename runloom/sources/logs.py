@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.functions.paths import strip
 from runloom.operators.slices import dense_index
 
 
@@ -20,7 +21,7 @@ def parse_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     and dropped; any other bad line rejects its file, with the line number."""
     rows = docs.select("path", F.split("text", r"\r?\n").alias("_l"))
     rows = rows.select("path", F.size("_l").alias("_n"), F.posexplode("_l").alias("pos", "line"))
-    rows = rows.filter(F.trim("line") != "").withColumn("ok", F.try_parse_json("line").isNotNull())
+    rows = rows.filter(strip(F.col("line")) != "").withColumn("ok", F.try_parse_json("line").isNotNull())
     open_tail = ~F.col("ok") & (F.col("pos") == F.col("_n") - 1)
     rows = rows.filter(~open_tail)
     rejected = rows.filter("not ok").groupBy("path").agg((F.min("pos") + 1).cast("bigint").alias("line_no"))

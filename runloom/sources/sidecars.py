@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runloom.session import cut_lineage
+
 LABELS = (
     "taxonomy_version STRING, model STRING, trajectory_file STRING, steps ARRAY<STRUCT<index BIGINT, raw_index BIGINT, role STRING, "
     "phase STRING, action STRING, label_source STRING, duration_s DOUBLE>>"
@@ -50,18 +52,21 @@ def shard_gaps(names: DataFrame) -> DataFrame:
     )
 
 
-def session_tree(sessions: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Descendants of every root with their smallest depth. ``sessions``: session_id, parent_id.
+def session_tree(sessions: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Descendants of every root with their smallest depth, all of them unless ``max_depth`` is given.
 
-    One join per level, so a cycle or a deep chain ends at ``max_depth`` levels.
+    ``sessions``: session_id, parent_id. One join per level, written to shared storage; a session seen
+    from its root before isn't followed again, so a cycle ends.
     """
-    found = sessions.filter("parent_id is null").select(F.col("session_id").alias("root"), "session_id", F.lit(0).cast("bigint").alias("depth"))
-    level = found
-    edges = sessions.filter("parent_id is not null").select("session_id", "parent_id")
-    for depth in range(1, max_depth + 1):
-        step = level.select("root", F.col("session_id").alias("parent_id")).join(edges, "parent_id").select("root", "session_id", F.lit(depth).cast("bigint").alias("depth"))
-        found, level = found.unionByName(step), step
-    return found.groupBy("root", "session_id").agg(F.min("depth").alias("depth"))
+    edges = sessions.filter("parent_id is not null").select("session_id", "parent_id").distinct()
+    found = level = cut_lineage(sessions.filter("parent_id is null").select(F.col("session_id").alias("root"), "session_id", F.lit(0).cast("bigint").alias("depth")).distinct())
+    depth = 0
+    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+        depth += 1
+        step = level.select("root", F.col("session_id").alias("parent_id")).join(edges, "parent_id").select("root", "session_id").distinct()
+        level = cut_lineage(step.join(found.select("root", "session_id"), ["root", "session_id"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
+        found = found.unionByName(level)
+    return found
 
 
 def write_reports(reports: DataFrame, folder: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:

@@ -128,3 +128,26 @@ def test_metric_laws(spark):
 
 def test_parts_schema_is_complete():
     assert {"type", "text", "items", "files"} <= set(PARTS.names)
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from runloom.functions.paths import strip
+
+    rows = spark.createDataFrame([("\n",), ("\t No results\r\n",), (None,)], "text string").select(strip(F.col("text")).alias("text")).collect()
+    assert [r["text"] for r in rows] == ["", "No results", None]
+
+
+def test_session_tree_of_any_depth_and_cycles(spark):
+    from runloom.sources.sidecars import session_tree
+
+    rows = [(i, i - 1 if i else None) for i in range(15)] + [(100, 101), (101, 100), (3, 14)]
+    found = session_tree(spark.createDataFrame(rows, "session_id long, parent_id long")).collect()
+    assert sorted((r["session_id"], r["depth"]) for r in found) == [(i, i) for i in range(15)]
+
+
+def test_runs_without_issues_are_good(spark):
+    from runloom.operators.issues import issue_kpi
+
+    found = spark.createDataFrame([(1, "error")] * 3, "traj_id long, severity string")
+    rows = {r["traj_id"]: r for r in issue_kpi(found, spark.createDataFrame([(1,), (2,)], "traj_id long")).collect()}
+    assert rows[1]["status"] == "bad" and rows[2]["status"] == "good" and rows[2]["issues"] == 0
