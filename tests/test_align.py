@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from runloom.operators import align as al
@@ -19,8 +20,12 @@ def sequence(seed, n):
     return out
 
 
+# Which of the targets above are equivalent: the three end in src/a.py, and a search without scope fits any scope.
+GROUP = {"/r/src/a.py": 0, "src/a.py": 0, "/q/src/a.py": 0, "b.py": 1, "p@src": 2, "p": 2, "q@lib": 3, "git": 4, "pytest": 5}
+
+
 def expected(a, b):
-    fits = lambda x, y: al._same(x[1], x[2], y[1], y[2]) and al.COMPATIBLE[al.EFFECTS[x[3]], al.EFFECTS[y[3]]]
+    fits = lambda x, y: x[1] == y[1] and GROUP[x[2]] == GROUP[y[2]] and al.COMPATIBLE[al.EFFECTS[x[3]], al.EFFECTS[y[3]]]
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
         for j, y in enumerate(b, 1):
@@ -47,10 +52,14 @@ def test_alignment(spark, cells):
         assert sorted((r.ref_seq, r.cmp_seq) for r in got if r.group_key == key) == expected(a, b)
 
 
-def test_path_equality_rules():
-    assert al._same_path("/home/u/repo/src/app.ts", "/other/repo/src/app.ts")
-    assert al._same_path("/w/a.py", "a.py") and not al._same_path("/w/a.py", "/v/a.py")
-    assert al._same_search("p@/w/src/x", "p") and not al._same_search("p@src", "q@src")
+@pytest.mark.parametrize("kind, a, b, same", [
+    ("FILE_READ", "/home/u/repo/src/app.ts", "/other/repo/src/app.ts", True), ("FILE_READ", "/w/a.py", "a.py", True), ("FILE_READ", "/w/a.py", "/v/a.py", False),
+    ("FILE_READ", "", "", True), ("FILE_READ", "", "a.py", False), ("SEARCH", "p@/w/src/x", "p", True), ("SEARCH", "p@src", "q@src", False), ("SEARCH", "p@a", "p@b", False),
+    ("AGENT_SPAWN", "one", "two", True), ("COMMAND", "git", "git", True), ("COMMAND", "git", "ls", False),
+])
+def test_match_relation(kind, a, b, same):
+    side = lambda t: pd.DataFrame({"code": [0], "kind": [kind], "target": [t]})
+    assert len(al._joined(side(a), side(b))) == len(al._joined(side(b), side(a))) == int(same)
 
 
 @pytest.mark.parametrize("order, inversions", [("edcba", 10), ("acbde", 1), ("bcdea", 4), ("ddcbaa", 6)])
