@@ -70,24 +70,43 @@ def a36(spark, d):
     return b.metric_deltas(*sides(spark, d)).select("metric", F.round("p_value", 6).alias("p_value"))
 
 
-@query("a37_guardrails", events_sql(PAIR + SIM + DELTA + """ SELECT metric, round(abs(delta) / abs(before_mean), 6) AS relative_regression FROM sg WHERE direction = 'regressed' AND (SELECT count(*) FROM sg WHERE direction = 'improved') > 0
+def costly_sides(spark, d):
+    """The pair of a task with the greater overhead comes after: more is found, at a price."""
+    rows = reports(spark, d)[1]
+    last = rows.groupBy("task_id").agg(F.max_by("group_key", F.struct("overhead", F.col("group_key").cast("bigint").alias("n"))).alias("_last"))
+    rows = rows.join(last, "task_id").withColumn("after", F.col("group_key") == F.col("_last"))
+    rows = b.long_metrics(rows, ("task_id", "after"))
+    return rows.filter("not after"), rows.filter("after")
+
+
+COSTLY = DELTA.replace("g % 2 = 1 AS after", "after").replace("FROM si)", "FROM (SELECT *, row_number() OVER (PARTITION BY g // 2 ORDER BY overhead DESC, g DESC) = 1 AS after FROM si))")
+
+
+@query("a37_guardrails", events_sql(PAIR + SIM + COSTLY + """ SELECT metric, round(abs(delta) / abs(before_mean), 6) AS relative_regression FROM sg WHERE direction = 'regressed' AND (SELECT count(*) FROM sg WHERE direction = 'improved') > 0
    AND (abs(delta) / abs(before_mean) >= 0.1 OR p_value < 0.05)"""))
 def a37(spark, d):
-    out = b.guardrails(b.metric_deltas(*sides(spark, d)))
+    out = b.guardrails(b.metric_deltas(*costly_sides(spark, d)))
     return out.select("metric", F.round("relative_regression", 6).alias("relative_regression"))
 
 
-@query("a38_recommendation", None)
+@query("a38_recommendation", events_sql(PAIR + SIM + COSTLY + """, wn AS (SELECT metric FROM sg WHERE direction = 'regressed' AND (abs(delta) / abs(before_mean) >= 0.1 OR p_value < 0.05)),
+  ls AS (SELECT coalesce(list_sort(list(metric) FILTER (direction = 'improved')), []) AS i, coalesce(list_sort(list(metric) FILTER (direction = 'regressed')), []) AS r, coalesce((SELECT list_sort(list(metric)) FROM wn), []) AS w FROM sg)
+  SELECT CASE WHEN len(i) + len(r) = 0 THEN 'No significant changes detected.'
+   WHEN len(i) > 0 AND len(w) > 0 THEN 'Intervention improved ' || array_to_string(i[:2], ', ') || ' but regressed ' || array_to_string(w[:2], ', ') || '. Review tradeoffs.'
+   WHEN len(i) > 0 AND len(r) > 0 THEN 'Intervention improved ' || array_to_string(i[:2], ', ') || ' with minor regressions in ' || array_to_string(r[:2], ', ') || ' (below guardrail thresholds).'
+   WHEN len(i) > 0 THEN 'Intervention improved ' || array_to_string(i[:3], ', ') || ' without regressions.'
+   ELSE 'Intervention regressed ' || array_to_string(r[:3], ', ') || ' without improvements.' END AS recommendation FROM ls"""))
 def a38(spark, d):
-    deltas = cut_lineage(b.metric_deltas(*sides(spark, d)))
+    deltas = cut_lineage(b.metric_deltas(*costly_sides(spark, d)))
     return b.recommendation(deltas, b.guardrails(deltas))
 
 
-@query("j13_task_pairing", """WITH p AS (SELECT DISTINCT o_custkey AS t, o_orderpriority AS q FROM orders) SELECT t AS task_id, CASE WHEN NOT a THEN 'before_only' WHEN NOT bf THEN 'after_only' ELSE 'paired' END AS side
-   FROM (SELECT t, bool_or(q = '1-URGENT') AS bf, bool_or(q = '5-LOW') AS a FROM p WHERE q IN ('1-URGENT', '5-LOW') GROUP BY t)""")
+@query("j13_task_pairing", """SELECT o_custkey AS task_id, CASE WHEN max(o_orderpriority) < '3' THEN 'before_only' WHEN min(o_orderpriority) >= '3' THEN 'after_only' ELSE 'paired' END AS side
+   FROM orders GROUP BY 1""")
 def j13(spark, d):
+    """Tasks with urgent orders against tasks with all others."""
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), "o_orderpriority")
-    return b.pair_tasks(rows.filter("o_orderpriority = '1-URGENT'"), rows.filter("o_orderpriority = '5-LOW'"))
+    return b.pair_tasks(rows.filter("o_orderpriority < '3'"), rows.filter("o_orderpriority >= '3'"))
 
 
 @query("a35_pattern_deltas", events_sql(PAIR + EXTRA + """, pk AS (SELECT DISTINCT g // 2 AS t, g % 2 AS a, type FROM pt UNION SELECT DISTINCT g // 2, g % 2, parent_type FROM pt WHERE parent_type IS NOT NULL),
@@ -147,18 +166,23 @@ def n01(spark, d):
 
 
 def group_pairs(spark, d):
-    """Every run against the baseline of its group, plus all pairs for the matrix."""
+    """Runs, their actions, and the groups they belong to."""
     runs, acts = staged(spark, d)
     return runs, acts, members(spark, d)
 
 
-@query("n08_group_waste", None)
+GROUP_PAIR = PAIR.replace(
+    "SELECT a.traj_id // 2 AS g,", "SELECT a.traj_id * 100000 + b.traj_id AS g,"
+).replace("ON b.traj_id = a.traj_id + 1 WHERE a.traj_id % 2 = 0", "ON b.traj_id // 5 = a.traj_id // 5 AND a.traj_id < b.traj_id")
+BASE_PAIR = GROUP_PAIR.replace("a.traj_id < b.traj_id", "a.traj_id < b.traj_id AND a.traj_id % 5 = 0")
+
+
+@query("n08_group_waste", events_sql(BASE_PAIR + EXTRA + """ SELECT (reference // 5) || '|' || reference || '|' || compared AS group_key, type, count(*) AS n FROM pr
+  JOIN (SELECT g, type FROM pt UNION ALL SELECT g, parent_type FROM pt WHERE parent_type IS NOT NULL) x ON x.g = pr.g GROUP BY ALL"""))
 def n08(spark, d):
     """Divergence patterns of every run against the first run of its group."""
     runs, acts, group = group_pairs(spark, d)
-    both = g.run_pairs(group)
-    base = group.filter("run_pos = 0").select(F.col("traj_id").alias("reference"))
-    p = cp.compare(acts, cut_lineage(both.join(base, "reference", "left_semi")))
+    p = cp.compare(acts, cut_lineage(g.baseline_pairs(group)))
     return dv.pattern_counts(dv.divergence_patterns(p.ref, p.cmp, p.matched))
 
 
@@ -180,10 +204,11 @@ def n10(spark, d):
     return g.folder_rollup(g.file_cells(group, acts))
 
 
-@query("n07_tool_matrix", events_sql(GROUP + f" SELECT group_id, tool_name AS name, count(DISTINCT traj_id) AS n_runs, {KIND} AS kind FROM calls JOIN mb USING (traj_id) JOIN gs USING (group_id) GROUP BY ALL"))
+@query("n07_tool_matrix", events_sql(GROUP + f" SELECT group_id, 'tool' AS capability, tool_name AS name, count(DISTINCT traj_id) AS n_runs, {KIND} AS kind FROM calls JOIN mb USING (traj_id) JOIN gs USING (group_id) GROUP BY ALL"))
 def n07(spark, d):
     group = members(spark, d)
-    return g.coverage(g.capability_cells(group, event_runs(spark, d, indexed=False).calls).filter("kind = 'tool'").drop("kind"), group, ["name"])
+    cells = g.capability_cells(group, event_runs(spark, d, indexed=False).calls).withColumnRenamed("kind", "capability")
+    return g.coverage(cells, group, ["capability", "name"])
 
 
 @query("n09_distinct_run_ids", """WITH r AS (SELECT c_custkey // 5 AS group_id, c_custkey AS traj_id, c_custkey % 5 AS run_pos, 'run' || (c_custkey % 3) AS stem, CASE c_custkey % 2 WHEN 0 THEN 'A' ELSE 'B' END AS f, 'm' || (c_custkey % 4) AS mo FROM customer),
@@ -228,12 +253,6 @@ def s37(spark, d):
 
 
 
-
-GROUP_PAIR = PAIR.replace(
-    "SELECT a.traj_id // 2 AS g,", "SELECT a.traj_id * 100000 + b.traj_id AS g,"
-).replace("ON b.traj_id = a.traj_id + 1 WHERE a.traj_id % 2 = 0", "ON b.traj_id // 5 = a.traj_id // 5 AND a.traj_id < b.traj_id")
-
-
 @query("n03_f1_matrix", events_sql(GROUP_PAIR + SIM + """ SELECT reference // 5 AS group_id, reference, compared, CASE WHEN recall + precision > 0 THEN 2 * precision * recall / (recall + precision) ELSE 0 END AS f1 FROM pr JOIN si ON si.g = pr.g"""))
 def n03(spark, d):
     runs, acts, group = group_pairs(spark, d)

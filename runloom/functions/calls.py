@@ -84,11 +84,11 @@ def window_ms() -> Column:
 
 
 def _headline(text: Column) -> Column:
-    return F.substring(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n")[0], 1, 120)
+    return F.split(strip(text), "\n")[0]
 
 
 def error_pattern() -> Column:
-    """Short text the failure is known by."""
+    """Text the failure is known by: a whole first line, so long messages that differ late stay apart."""
     bad_status = status_failed(F.col("status"))
     return (
         F.when(F.coalesce(F.col("error") != "", F.lit(False)), _headline(F.col("error")))
@@ -98,7 +98,7 @@ def error_pattern() -> Column:
         )
         .when(bad_status & F.coalesce(F.col("output") != "", F.lit(False)), _headline(F.col("output")))
         .when(bad_status, F.concat(F.lit("status: "), F.lower("status")))
-        .when(F.coalesce(F.col("error_type") != "", F.lit(False)), F.substring(F.trim("error_type"), 1, 120))
+        .when(F.coalesce(F.col("error_type") != "", F.lit(False)), strip(F.col("error_type")))
         .otherwise("unknown error")
     )
 

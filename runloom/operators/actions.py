@@ -95,7 +95,7 @@ def actions(steps: DataFrame, calls: DataFrame, parts: DataFrame, labels: DataFr
         .when(mapped & (kind == "SEARCH"), _search_target(F.col("_arg"), normal))
         .when(mapped & (normal != ""), normal)
         .when(shell, base)
-        .when(fc.is_tool(vocab.COMPARE_SPAWN_TOOLS), F.substring(text("description", "prompt"), 1, 80))
+        .when(fc.is_tool(vocab.COMPARE_SPAWN_TOOLS), text("description", "prompt"))
         .when(fc.is_tool(vocab.COMPARE_PLAN_TOOLS), "")
         .otherwise(F.col("tool_name"))
     )

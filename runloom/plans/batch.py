@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,18 +72,29 @@ def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumns({"direction": _direction(F.col("delta"), higher), "p_value": sign_test(F.col("n"), F.col("n_up"), F.col("n_down"))})
 
 
+def log_factorial(n: Column) -> Column:
+    """Logarithm of n!, by Stirling's series eight places further up."""
+    x = n.cast("double") + 9
+    powers = {1: 1 / 12, 3: -1 / 360, 5: 1 / 1260, 7: -1 / 1680, 9: 1 / 1188}
+    series = reduce(lambda a, b: a + b, [c / F.pow(x, F.lit(k)) for k, c in powers.items()], (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi))
+    return series - reduce(lambda a, b: a + b, [F.log(n + i) for i in range(1, 9)])
+
+
 def sign_test(n: Column, up: Column, down: Column) -> Column:
-    """Two-sided binomial sign test; null below two observations. Terms are kept as logarithms."""
-    moved = up + down
-    begin = F.struct((moved * F.log(F.lit(0.5))).alias("t"), F.lit(0.0).alias("p"))
+    """Two-sided binomial sign test; null below two observations.
+
+    The tail is summed from its largest term downwards. Terms further than five roots of the count
+    away are below 1e-21 of that one, so the work is the root of the count, not the count.
+    """
+    moved, k = up + down, F.least(up, down)
+    largest = F.exp(log_factorial(moved) - log_factorial(k) - log_factorial(moved - k) - moved * math.log(2))
+    far = F.least(k, F.ceil(5 * F.sqrt(moved.cast("double"))) + 1).cast("bigint")
+    begin = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("p"))
 
     def add(state: Column, i: Column) -> Column:
-        return F.struct(
-            (state["t"] + F.log((moved - i) / (i + 1))).alias("t"), (state["p"] + F.exp(state["t"])).alias("p")
-        )
+        return F.struct((state["t"] * (k - i) / (moved - k + 1 + i)).alias("t"), (state["p"] + state["t"]).alias("p"))
 
-    terms = F.sequence(F.lit(0).cast("bigint"), F.least(up, down))
-    tail = F.aggregate(terms, begin, add)["p"]
+    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), far), begin, add)["p"] * largest
     return F.when(n < 2, F.lit(None)).when(moved == 0, 1.0).otherwise(F.least(F.lit(1.0), tail * 2))
 
 

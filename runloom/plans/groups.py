@@ -48,6 +48,14 @@ def run_pairs(members: DataFrame) -> DataFrame:
     return rows.select(key.alias("group_key"), "group_id", "reference", "compared")
 
 
+def baseline_pairs(members: DataFrame) -> DataFrame:
+    """Every other run of a group against its baseline."""
+    base = members.filter("run_pos = 0").select("group_id", F.col("traj_id").alias("reference"))
+    rows = base.join(members.filter("run_pos > 0").select("group_id", F.col("traj_id").alias("compared")), "group_id")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in ("group_id", "reference", "compared")])
+    return rows.select(key.alias("group_key"), "group_id", "reference", "compared")
+
+
 def f1_matrix(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     """Pairwise F1; two runs without actions are alike, one against none is not."""
     rows = pairs.join(similarity.select("group_key", "f1"), "group_key", "left")
@@ -109,10 +117,10 @@ def distinct_ids(runs: DataFrame) -> DataFrame:
 
 def folder_rollup(cells: DataFrame) -> DataFrame:
     """Reads, writes and files per folder; a file counts once for every folder above it."""
-    # Home directory prefixes left out of the tree.
-    home = r"^/(?:home|Users)/[^/]+/|^/root/"
-    parts = F.split(F.regexp_replace(F.regexp_replace("path", home, ""), "^/+", ""), "/")
-    rows = cells.withColumn("_p", parts)
+    # Home directory and drive prefixes left out of the tree.
+    home = r"^(?:mnt/[^/]+/(?:Users|home)/[^/]+|(?:home|Users|mnt)/[^/]+)/(?=.)"
+    named = F.filter(F.split("path", "/"), lambda part: ~part.isin("", "."))
+    rows = cells.withColumn("_p", F.split(F.regexp_replace(F.array_join(named, "/"), home, ""), "/"))
     folders = F.transform(F.sequence(F.lit(1), F.size("_p") - 1), lambda i: F.array_join(F.slice("_p", F.lit(1), i), "/"))
     rows = rows.filter(F.size("_p") > 1).select("group_id", "path", "traj_id", "reads", "writes", F.explode(folders).alias("folder"))
     by_file = rows.groupBy("group_id", "folder", "path").agg(F.sum("reads").alias("reads"), F.sum("writes").alias("writes"))

@@ -1,5 +1,7 @@
 """Expressions on single values, and sequence operators on tiny runs."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,42 @@ def test_sign_test(spark):
     p = lambda n, u, d: one(spark, p=batch.sign_test(F.lit(n), F.lit(u).cast("bigint"), F.lit(d).cast("bigint"))).p
     assert p(1, 1, 0) is None and p(4, 0, 0) == 1.0
     assert abs(p(8, 7, 1) - 2 * (1 + 8) / 256) < 1e-12 and p(6, 3, 3) == 1.0
+    for up, down in ((40, 60), (500, 600), (0, 12), (900, 900)):
+        exact = min(1.0, 2 * sum(math.comb(up + down, i) for i in range(min(up, down) + 1)) / 2 ** (up + down))
+        assert abs(p(up + down, up, down) / exact - 1) < 1e-9
+    # A hundred million pairs, one deviation from even: twice the normal tail.
+    assert abs(p(10**8, 5 * 10**7 - 5_000, 5 * 10**7 + 5_000) - 0.3173) < 1e-3
+
+
+def test_long_messages_that_differ_late_are_different_patterns(spark):
+    long = "x" * 200
+    df = spark.createDataFrame([(1, i, 0, "Bash", e) for i, e in enumerate([long + "a", long + "b", f"\n\t{long}a\nmore"])], "traj_id long, step_idx long, call_pos long, tool_name string, error string")
+    rows = conform(with_slice(df), CALLS).select(fc.error_pattern().alias("p")).collect()
+    assert {r.p for r in rows} == {long + "a", long + "b"}
+
+
+def test_output_status_reads_the_whole_output(spark):
+    from runloom.sources.exec_calls import output_status
+
+    late = F.lit("fine " * 100 + "Error: late")
+    none = F.lit(None).cast("int")
+    got = one(spark, a=output_status(late, none), b=output_status(late, none, reach=200), c=output_status(late, F.lit(0)))
+    assert tuple(got) == ("error", "success", "success")
+
+
+def test_folders_leave_out_homes_and_drives(spark):
+    from runloom.plans.groups import folder_rollup
+
+    paths_ = ["/home/me/a/f", "/Users/me/a/g", "/mnt/c/Users/me/a/h", "/mnt/c/b/i", "/root/a/j", "//a/./k", "/home/me", "top"]
+    cells = spark.createDataFrame([(1, 1, p, 1, 0) for p in paths_], "group_id long, traj_id long, path string, reads long, writes long")
+    assert {(r.folder, r.files) for r in folder_rollup(cells).collect()} == {("a", 4), ("b", 1), ("root", 1), ("root/a", 1), ("home", 1)}
+
+
+def test_baseline_pairs(spark):
+    from runloom.plans.groups import baseline_pairs
+
+    members = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 2), (2, 20, 0)], "group_id long, traj_id long, run_pos long")
+    assert {(r.group_key, r.reference, r.compared) for r in baseline_pairs(members).collect()} == {("1|10|11", 10, 11), ("1|10|12", 10, 12)}
 
 
 def calls_of(spark, rows):
