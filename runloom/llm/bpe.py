@@ -26,13 +26,20 @@ SLICE = 1 << 20
 SPACE = frozenset(b"\t\n\v\f\r ")
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    return {letter: b for b, letter in enumerate(byte_letters())}
+
+
 class Vocabulary:
-    """Tokens as bytes, merges by rank, and the pairs that stand inside a token."""
+    """Ids of tokens as bytes, merges by rank, and the pairs that stand inside a token."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+        spec, byte_of = _spec(path), _bytes_of_letters()
         self.ids = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
@@ -43,8 +50,6 @@ class Vocabulary:
         for token in self.ids:
             for a, b in zip(token, token[1:]):
                 self.inside[a, b] = True
-        tokens = {i: token for token, i in self.ids.items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
-        self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of a fragment: the pair of lowest rank first, the leftmost of equals, in n log n."""
@@ -100,7 +105,11 @@ def encoder(path: str) -> ForcedBoundaryEncoder:
 
 @lru_cache(2)
 def token_bytes(path: str) -> pa.Array:
-    return pa.array(Vocabulary(path).tokens, pa.large_binary())
+    """Bytes of every id; decoding needs neither merges nor pairs."""
+    spec, byte_of = _spec(path), _bytes_of_letters()
+    tokens = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+    tokens |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return pa.array([tokens.get(i, b"") for i in range(max(tokens) + 1)], pa.large_binary())
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", into: str = "ids") -> DataFrame:
