@@ -1,12 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models give the letters of a word, one learned from toxic and one from ordinary documents. The
-highest order has counts of its own class; below it both back off to the same continuation counts, so
-an expression that is rare in a class is judged by what is common to both. A text's features are its
-log-likelihood ratio per word, over the whole text and over its most toxic stretches; a logistic curve
-fitted across folds turns them into a probability.
-
-The models are fitted on a bounded sample of labelled rows; every text is then scored whole.
+highest order has counts of its own class; below it both back off to the same continuation counts,
+gathered from every text of the corpus, so an expression that is rare in a class is judged by what is
+common to all. A text's features are its log-likelihood ratio per word, over the whole text and over
+its most toxic stretches; a logistic curve fitted across folds turns them into a probability.
+
+Counts of the classes come from a bounded sample of labelled rows. The corpus counts grow with the
+corpus and stay in Spark tables; of them the driver sees the probabilities of the sample's n-grams
+only, as an n-gram that neither class has seen gets the same shared probability in both models and
+that cancels out. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm.common import extend, texts
+from runloom.llm.common import extend, stored, texts
 
 WORDS = re.compile(r"\w+")
 #: Letters of the highest order, and what stands before and after a word.
@@ -34,6 +37,8 @@ STRETCHES = (1, 6, 24)
 FEATURES = len(STRETCHES) + 2
 #: Scores of words kept per worker.
 MEMO = 200_000
+#: Corpus n-grams that a task holds before it hands them on, and letters of a word it remembers as done.
+HELD, SHORT = 100_000, 64
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,31 +111,12 @@ def _discount(counts: np.ndarray) -> float:
     return float(once / (once + 2 * twice)) if once else 0.5
 
 
-def _shared(grams: pd.Series, counts: np.ndarray) -> np.ndarray:
-    """Probability of each gram's last letter after the rest, from counts that both classes share.
-
-    ``counts``: of how many longer grams the gram is the end.
-    """
-    letters = grams.str.len().iloc[0]
-    if letters == 1:
-        return (counts + 1) / (counts.sum() + len(counts) + 1)
-    context = pd.factorize(grams.str.slice(0, -1))[0]
-    total, kinds = np.bincount(context, counts), np.bincount(context)
-    lower = grams.str.slice(1)
-    number, names = pd.factorize(lower)
-    below = _shared(pd.Series(names), np.bincount(number).astype(float))[number]
-    d = _discount(counts)
-    return np.maximum(counts - d, 0) / total[context] + d * kinds[context] / total[context] * below
-
-
-def fit_words(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """The pair of models from the classes' counts of n-grams."""
+def fit_words(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray) -> Model:
+    """The pair of models from the classes' counts of n-grams and the shared probability of each one's last letter."""
     seen = (toxic + ordinary) > 0
-    series, counts = pd.Series(grams, dtype="str")[seen].reset_index(drop=True), (toxic[seen].astype(float), ordinary[seen].astype(float))
+    series, counts, shared = pd.Series(grams, dtype="str")[seen].reset_index(drop=True), (toxic[seen].astype(float), ordinary[seen].astype(float)), shared[seen]
     if not len(series):
         return Model(*(np.zeros(0, k) for k in (np.uint64, float, np.uint64, float)))
-    number, names = pd.factorize(series.str.slice(1))
-    shared = _shared(pd.Series(names), np.bincount(number).astype(float))[number]
     context, contexts = pd.factorize(series.str.slice(0, -1))
     log_p, log_back = [], []
     for c in counts:
@@ -209,7 +195,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_o
 GRAMS = T.StructType([T.StructField("gram", T.StringType()), *[T.StructField(f"c{k}", T.LongType()) for k in range(4)]])
 
 
-def gram_counts(sample: DataFrame) -> pd.DataFrame:
+def gram_counts(sample: DataFrame) -> DataFrame:
     """Documents with each n-gram's words by fold and class: a word counts once a document, so repeated lines don't weigh more."""
 
     def run(batches):
@@ -222,7 +208,58 @@ def gram_counts(sample: DataFrame) -> pd.DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([g[n] for n in names], pa.int64()) for g in grams]], names=GRAMS.names)
 
     counted = sample.select("text", "label", "fold").mapInArrow(run, GRAMS)
-    return counted.groupBy("gram").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]).toPandas()
+    return counted.groupBy("gram").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)])
+
+
+def corpus_grams(docs: DataFrame) -> DataFrame:
+    """Every n-gram of the highest order in the words of all texts, repeats dropped within a task only."""
+
+    def run(batches):
+        done, found = set(), set()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["gram"])
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                new = set(WORDS.findall(text.lower())) - done
+                done.update(w for w in new if len(w) <= SHORT)
+                for word in new:
+                    padded = BEFORE * (ORDER - 1) + word + AFTER
+                    for a in range(0, len(word) + 1, HELD):
+                        found.update(padded[i : i + ORDER] for i in range(a, min(a + HELD, len(word) + 1)))
+                        if len(found) > HELD:
+                            yield out()
+                            found = set()
+                if len(done) > MEMO:
+                    done = set()
+        yield out()
+
+    return docs.select("text").mapInArrow(run, "gram string")
+
+
+def shared_counts(docs: DataFrame) -> dict[int, DataFrame]:
+    """By order, below the highest: of how many distinct longer n-grams of the whole corpus each n-gram is the end (gram, n)."""
+    levels, above = {}, corpus_grams(docs).distinct()
+    for k in range(ORDER - 1, 0, -1):
+        above = levels[k] = stored(above.groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"shared-{k}")
+    return levels
+
+
+def with_shared(grams: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
+    """``grams`` (gram, of the highest order) with ``shared``, the probability of the last letter after all but the first.
+
+    Kneser-Ney over ``levels``: each order's discounted share of its context, and the next lower order for the rest.
+    """
+    for k in sorted(levels):
+        level, last = levels[k], F.substring("gram", ORDER - k + 1, k)
+        of_context = level.groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        rows = grams.select(last.alias("gram")).distinct().join(level, "gram").withColumn("context", F.substring("gram", 1, k - 1)).join(of_context, "context")
+        if k == 1:
+            below = rows.select("gram", ((F.col("n") + 1) / (F.col("total") + F.col("kinds") + 1)).alias("shared"))
+            continue
+        once, twice = level.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+        d = once / (once + 2 * twice) if once else 0.5
+        rows = rows.withColumn("lower", F.substring("gram", 2, k - 1)).join(below.select(F.col("gram").alias("lower"), F.col("shared").alias("rest")), "lower")
+        below = rows.select("gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("rest")).alias("shared"))
+    return grams.withColumn("last", F.substring("gram", 2, ORDER - 1)).join(below.withColumnRenamed("gram", "last"), "last").drop("last")
 
 
 @dataclass(frozen=True)
@@ -232,16 +269,16 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Classifier | None:
-    """The models and the curve from ``labels`` (doc_id, toxic); None without both classes.
+    """The models and the curve from ``labels`` (doc_id, toxic) and the texts of all ``docs``; None without both classes.
 
     Each fold is scored by the models of the other one, and the curve is fitted on these scores.
     """
-    chosen = sample_of(docs, labels, "toxic", parts, held_out, sample)
-    counts = gram_counts(chosen)
-    grams, c = counts["gram"].tolist(), counts[[f"c{k}" for k in range(4)]].to_numpy(np.int64)
+    chosen = stored(sample_of(docs, labels, "toxic", parts, held_out, sample), "labelled")
+    counts = with_shared(stored(gram_counts(chosen), "class-counts"), shared_counts(docs)).toPandas()
+    grams, c, below = counts["gram"].tolist(), counts[[f"c{k}" for k in range(4)]].to_numpy(np.int64), counts["shared"].to_numpy(float)
     if not len(c) or not (c[:, 0] + c[:, 2]).any() or not (c[:, 1] + c[:, 3]).any():
         return None
-    by_fold = [fit_words(grams, c[:, 2 * (1 - fold) + 1], c[:, 2 * (1 - fold)]) for fold in (0, 1)]
+    by_fold = [fit_words(grams, c[:, 2 * (1 - fold) + 1], c[:, 2 * (1 - fold)], below) for fold in (0, 1)]
     shared, features = docs.sparkSession.sparkContext.broadcast(by_fold), [f"x{k}" for k in range(FEATURES)]
 
     def cross(batches):
@@ -255,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0,
     if scored["label"].nunique() < 2:
         return None
     curve = fit_logistic(scored[features].to_numpy(), scored["label"].to_numpy(float), scored["weight"].to_numpy())
-    return Classifier(fit_words(grams, c[:, 1] + c[:, 3], c[:, 0] + c[:, 2]), curve)
+    return Classifier(fit_words(grams, c[:, 1] + c[:, 3], c[:, 0] + c[:, 2], below), curve)
 
 
 def score(docs: DataFrame, classifier: Classifier | None, text: str = "text", into: str = "score") -> DataFrame:

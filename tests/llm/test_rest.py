@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,13 +127,39 @@ def test_forward_backward_against_all_labelings():
         at += n
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
-    grams = pd.Series(["aba", "abb", "bab", "bba", "bbb", "aab"])
-    p = toxicity._shared(grams, np.array([3.0, 1, 2, 1, 1, 2]))
-    context = grams.str.slice(0, -1)
-    assert (pd.Series(p).groupby(context).sum() <= 1 + 1e-9).all() and (p > 0).all()
+def brute_shared(words: set[str]) -> dict[str, float]:
+    """Probability of the last of five letters after the four before, from all words."""
+    n, pad = toxicity.ORDER, toxicity.BEFORE * (toxicity.ORDER - 1)
+    grams = {f"{pad}{w}{toxicity.AFTER}"[i : i + n] for w in words for i in range(len(w) + 1)}
+    counts = {}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in grams)
+        grams = set(counts[k])
+    probability = {}
+    for k in range(1, n):
+        c, once, twice = counts[k], *(sum(v == x for v in counts[k].values()) for x in (1, 2))
+        d = once / (once + 2 * twice) if once else 0.5
+        for g, v in c.items():
+            same = [x for h, x in c.items() if h[:-1] == g[:-1]]
+            probability[g] = (v + 1) / (sum(same) + len(same) + 1) if k == 1 else max(v - d, 0) / sum(same) + d * len(same) / sum(same) * probability[g[1:]]
+    return {g: probability[g] for g in counts[n - 1]}
+
+
+def test_shared_backoff_counts_cover_all_texts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = {"".join(rng.choice(list("abcdé日"), int(rng.integers(1, 9)))) for _ in range(150)} | {"ab" * 300}
+    rows = [(" ".join(sorted(words)[i::7]).upper() + " !", "x") for i in range(7)] * 2 + [(None, "x"), ("", "x")]
+    docs = spark.createDataFrame(rows, "text string, gram string").repartition(4)
+    monkeypatch.setattr(toxicity, "HELD", 50)
+    grams = toxicity.corpus_grams(docs).distinct()
+    got = {r["gram"]: r["shared"] for r in toxicity.with_shared(grams, toxicity.shared_counts(docs)).collect()}
+    expected, of_context = brute_shared(words), Counter()
+    assert len(got) == grams.count() and {g[1:] for g in got} == set(expected)
+    assert all(abs(p - expected[g[1:]]) < 1e-12 for g, p in got.items())
+    for g, p in expected.items():
+        of_context[g[:-1]] += p
+    assert all(0 < p <= 1 + 1e-9 for p in of_context.values())
+    assert toxicity.with_shared(grams.limit(0), toxicity.shared_counts(docs.limit(0))).count() == 0
 
 
 def test_pipeline_stages_keep_columns_and_copies_go(spark):
