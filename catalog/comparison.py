@@ -140,9 +140,6 @@ def i07(spark, d):
     return pairs(spark, d)[1].matched
 
 
-SIM = """, sr AS (SELECT g, count(*) AS n, sum(mc)::DOUBLE AS w, count(ref_seq) AS h, coalesce(sum(mc) FILTER (ref_seq IS NOT NULL), 0)::DOUBLE AS hw FROM rf LEFT JOIN al ON al.g = rf.g AND ref_seq = seq GROUP BY rf.g AS g),
- sc AS (SELECT 1)"""
-
 SIM = """, sr AS (SELECT rf.g AS g, count(*) AS n, sum(mc)::DOUBLE AS w, count(ref_seq) AS h, coalesce(sum(mc) FILTER (ref_seq IS NOT NULL), 0)::DOUBLE AS hw FROM rf LEFT JOIN al ON al.g = rf.g AND ref_seq = seq GROUP BY rf.g),
  sc AS (SELECT cm.g AS g, count(*) AS n, sum(mc)::DOUBLE AS w, count(cmp_seq) AS h, coalesce(sum(mc) FILTER (cmp_seq IS NOT NULL), 0)::DOUBLE AS hw FROM cm LEFT JOIN al ON al.g = cm.g AND cmp_seq = seq GROUP BY cm.g),
  si AS (SELECT sr.g, sr.hw / sr.w AS recall, sc.hw / sc.w AS precision, sc.w / sr.w AS overhead, sr.n AS ref_actions, sc.n AS cmp_actions, sr.h AS matched FROM sr JOIN sc ON sc.g = sr.g)"""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def valid_labels(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Labels with ``valid``: the (phase, action) pair is in the taxonomy. The taxonomy is a few dozen rows."""
+    """Labels with ``valid``: the (phase, action) pair is in the taxonomy; of what size that is, Spark finds out."""
     known = taxonomy.select("phase", "action").distinct().withColumn("_ok", F.lit(True))
-    return labels.join(F.broadcast(known), ["phase", "action"], "left").withColumn("valid", F.coalesce("_ok", F.lit(False))).drop("_ok")
+    return labels.join(known, ["phase", "action"], "left").withColumn("valid", F.coalesce("_ok", F.lit(False))).drop("_ok")
 
 
 def _assistant(labels: DataFrame) -> DataFrame:
