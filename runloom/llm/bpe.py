@@ -2,8 +2,9 @@
 
 A pair of bytes that never stands inside any token of the vocabulary marks a certain cut: no merge
 can join its two sides. Every text is cut there, each fragment is merged alone, and the fragments'
-ids are joined. White space after a visible byte is such a pair, so the outer fragments are chunks
-whose ids are remembered; inside a chunk the word pattern and the remaining pairs cut further.
+ids are joined. Where no token holds ASCII white space after another byte, the outer fragments are
+chunks whose ids are remembered; a vocabulary with such tokens (space, no-break space, space ...)
+takes whole texts. Inside either the word pattern and the remaining pairs cut further.
 """
 
 from __future__ import annotations

@@ -13,9 +13,14 @@ import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-#: A run of ASCII white space and what follows up to the next one. No token of a byte-level
-#: vocabulary spans a step from a visible byte to white space, so chunks are encoded alone.
+#: A run of ASCII white space and what follows up to the next one. The word pattern always cuts
+#: between a visible character and white space, so such chunks are encoded alone.
 CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+#: A step from wider white space (no-break space, line separator ...) to ASCII white space lies inside
+#: one run of white space, which a token may span; texts that have one are cut by the second pattern.
+WIDE = rb"(?:(?<=\xc2[\x85\xa0])|(?<=\xe1\x9a\x80)|(?<=\xe2\x80[\x80-\x8a\xa8\xa9\xaf])|(?<=\xe2\x81\x9f)|(?<=\xe3\x80\x80))[\t-\r ]"
+WIDE_STEP = re.compile(rb"[\x80-\xaf]" + WIDE)
+WIDE_CHUNK = re.compile(rb"[\t-\r ]*[^\t-\r ]+(?:" + WIDE + rb"[\t-\r ]*[^\t-\r ]*)*|[\t-\r ]+")
 #: Fixed value: the word pattern of this kind of vocabulary (public, given with the tokenizer).
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Entries of each of a memo's two generations, per worker: the bound of its memory.
@@ -69,7 +74,9 @@ class TextEncoder:
         raise NotImplementedError
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, CHUNK.findall(text.encode())))
+        data = text.encode()
+        cut = CHUNK if data.isascii() or not WIDE_STEP.search(data) else WIDE_CHUNK
+        return b"".join(map(self.chunks.__getitem__, cut.findall(data)))
 
     def encode(self, text: str) -> bytes:
         if self.marks and any(mark in text for mark in self.special):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -27,6 +28,19 @@ def test_encoders_give_the_librarys_ids(library, odd_rows):
             assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(library, text)
 
 
+WIDE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+
+
+def test_white_space_of_any_kind_is_one_run(library):
+    texts = ["x \xa0 \xa0 y", "<p> \xa0 \xa0 \xa0 \xa0 text", "\xa0 \xa0", " \xa0 \xa0 \xa0", "a\xa0 \xa0 b é\xa0 \xa0 \xa0 c d", "x \xa0 \xa0<|endoftext|>\xa0 \xa0 y"]
+    rnd = random.Random(3)
+    texts += ["".join(rnd.choice([" ", " ", "\xa0", "\n", "x", "é", "'s", "7", *WIDE]) for _ in range(40)) for _ in range(300)]
+    texts += ["".join(rnd.choice([" ", "\xa0", " \xa0", "ab"]) for _ in range(60)) for _ in range(300)]
+    for encoder in (LibraryEncoder(TOKENIZER), bpe.ForcedBoundaryEncoder(TOKENIZER)):
+        for text in texts:
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(library, text)
+
+
 def test_no_token_holds_a_forced_pair():
     vocabulary = bpe.Vocabulary(TOKENIZER)
     assert not vocabulary.inside[ord("a"), ord(" ")] and vocabulary.inside[ord("t"), ord("h")]
