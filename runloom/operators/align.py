@@ -1,15 +1,16 @@
 """Alignment of two runs: longest common subsequence of their canonical actions.
 
-The only Python of the engine. A pair within ``cells`` table cells is one Arrow group. A longer pair is
-cut into tiles: anti-diagonals of tiles are one Spark stage each and exchange only tile borders, so the
-memory of a task is one tile whatever the run length, and the result is the same.
+The only Python of the engine. A pair within ``cells`` table cells and ``rows`` actions is one Arrow group.
+A longer pair is cut into tiles: anti-diagonals of tiles are one Spark stage each and exchange only tile
+borders, so the memory of a task is one tile whatever the run length, and the result is the same. Tiles of a
+pair with a short side are longer along the other. A pair with an empty side matches nothing and is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.operators.slices import running
@@ -17,6 +18,7 @@ from runloom.session import cut_lineage
 
 CELLS = 16_000_000
 TILE = 2048
+ROWS = 65_536
 # Effects that may stand for each other.
 EFFECTS = {"survived": 0, "justified": 1, "failed": 2, "reverted": 3, "unknown": 4}
 # Equal effects agree, unknown agrees with all, and an effect that lasted agrees with one that was justified.
@@ -43,37 +45,57 @@ def _path_of(kind: pd.Series, target: pd.Series) -> pd.Series:
     return target.where(kind != "SEARCH", scope).where(kind.isin(["SEARCH", "FILE_READ", "FILE_WRITE"]), "")
 
 
+def short_target(kind: Column, target: Column) -> Column:
+    """The shortest target with the same equivalents: nothing of a spawn, the last two parts of a path or scope, else all."""
+    scope = F.substring_index(target, "@", -1)
+    pattern = F.substr(target, F.lit(1), F.length(target) - F.length(scope))
+    return (
+        F.when(kind == "AGENT_SPAWN", "")
+        .when(kind.isin("FILE_READ", "FILE_WRITE"), F.substring_index(target, "/", -2))
+        .when((kind == "SEARCH") & F.contains(target, F.lit("@")), F.concat(pattern, F.substring_index(scope, "/", -2)))
+        .otherwise(target)
+    )
+
+
 def _joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Equivalent keys (code_x, code_y) of both sides (code, kind, target): a join on kind and head, then the paths.
+    """Equivalent keys (code_x, code_y) of both sides (code, kind, target): equal joins on kind, head and the end of the path.
 
-    Paths agree if one ends in the other or both end in the same two parts; a search without scope fits any.
+    Paths agree if one ends in the other or both end in the same two parts, so the last two parts decide: they are
+    equal, or one path is the bare last part of the other. A search without scope fits any. Of short targets
+    a key has at most three equivalents but for bare and empty paths, so there are no more pairs than a few per key.
     """
-    if left.empty or right.empty:
-        return pd.DataFrame({"code_x": [], "code_y": []})
-    sides = [df.assign(head=_head(df["kind"], df["target"]), path=_path_of(df["kind"], df["target"])) for df in (left, right)]
-    pairs = sides[0].merge(sides[1], on=["kind", "head"])
-    ends = lambda path: "/".join(path.split("/")[-2:]) if "/" in path else None
-    x, y = pairs["path_x"], pairs["path_y"]
-    inside = np.array([("/" + a).endswith("/" + b) or ("/" + b).endswith("/" + a) for a, b in zip(x, y)], dtype=bool)
-    two = (x.map(ends) == y.map(ends)).to_numpy(bool) & x.str.contains("/").to_numpy(bool)
-    empty = (x == "").to_numpy(bool) | (y == "").to_numpy(bool)
-    fits = np.where(empty, ((pairs["kind"] == "SEARCH") | (x == y)).to_numpy(bool), inside | two)
-    return pairs.loc[fits, ["code_x", "code_y"]]
+    on = ["kind", "head"]
+    x, y = (df[["code", "kind"]].assign(head=_head(df["kind"], df["target"]), end=_path_of(df["kind"], df["target"]).str.split("/").str[-2:].str.join("/")) for df in (left, right))
+    found = [x.merge(y, on=[*on, "end"])]
+    for a, b, names in ((x, y, ("_x", "_y")), (y, x, ("_y", "_x"))):
+        whole, bare = a["end"].str.contains("/", regex=False).astype(bool), ~b["end"].str.contains("/", regex=False).astype(bool) & (b["end"] != "")
+        found.append(a[whole].assign(end=a.loc[whole, "end"].str.rsplit("/", n=1).str[-1]).merge(b[bare], on=[*on, "end"], suffixes=names))
+        found.append(a[a["end"] != ""].merge(b[(b["end"] == "") & (b["kind"] == "SEARCH")], on=on, suffixes=names))
+    return pd.concat([f[["code_x", "code_y"]] for f in found], ignore_index=True)
+
+
+def _coded(df: pd.DataFrame, kind: str, target: str) -> tuple[np.ndarray, pd.DataFrame]:
+    """Code of every row's key, and the distinct keys (code, kind, target)."""
+    codes, keys = pd.factorize(pd.MultiIndex.from_frame(df[[kind, target]].fillna("")))
+    return codes, pd.DataFrame(list(keys), columns=["kind", "target"]).assign(code=range(len(keys)))
 
 
 def _matches(ref: pd.DataFrame, cmp: pd.DataFrame) -> np.ndarray:
     """Boolean match table from joins of the distinct keys of both sides; commands also meet by their fuzzy key."""
-    keys = ["action_type", "target", "fuzzy_type", "fuzzy_target"]
-    (ref_code, a), (cmp_code, b) = (pd.factorize(pd.MultiIndex.from_frame(df[keys].fillna(""))) for df in (ref, cmp))
-    a, b = (pd.DataFrame(list(k), columns=keys).assign(code=range(len(k))) for k in (a, b))
-    plain = lambda df: df[["code", "action_type", "target"]].set_axis(["code", "kind", "target"], axis=1)
-    fuzzy = lambda df: df.loc[(df["action_type"] == "COMMAND") & (df["fuzzy_type"] != ""), ["code", "fuzzy_type", "fuzzy_target"]].set_axis(["code", "kind", "target"], axis=1)
-    other = lambda df: plain(df[df["action_type"] != "COMMAND"])
-    found = pd.concat([_joined(plain(a), plain(b)), _joined(fuzzy(a), other(b)), _joined(other(a), fuzzy(b))])
-    table = np.zeros((len(a), len(b)), dtype=bool)
-    table[found["code_x"].to_numpy(int), found["code_y"].to_numpy(int)] = True
+    (ref_code, a), (cmp_code, b) = (_coded(df, "action_type", "target") for df in (ref, cmp))
+    (ref_fuzzy, c), (cmp_fuzzy, d) = (_coded(df.assign(fuzzy_type=df["fuzzy_type"].where(df["action_type"] == "COMMAND", "")), "fuzzy_type", "fuzzy_target") for df in (ref, cmp))
+    fuzzy = lambda df: df[df["kind"] != ""]
+    other = lambda df: df[df["kind"] != "COMMAND"]
     effects = COMPATIBLE[ref["effect"].map(EFFECTS).to_numpy()[:, None], cmp["effect"].map(EFFECTS).to_numpy()[None, :]]
-    return table[ref_code[:, None], cmp_code[None, :]] & effects
+    fits = np.zeros((len(ref), len(cmp)), dtype=bool)
+    for x, y, left, right in ((ref_code, cmp_code, a, b), (ref_fuzzy, cmp_code, fuzzy(c), other(b)), (ref_code, cmp_fuzzy, other(a), fuzzy(d))):
+        if left.empty or right.empty:
+            continue
+        found = _joined(left, right)
+        table = np.zeros((x.max() + 1, y.max() + 1), dtype=bool)
+        table[found["code_x"].to_numpy(int), found["code_y"].to_numpy(int)] = True
+        fits |= table[x[:, None], y[None, :]]
+    return fits & effects
 
 
 def _fill(match: np.ndarray, top: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -120,7 +142,7 @@ def _align_small(rows: pd.DataFrame) -> pd.DataFrame:
 SIDE = ["group_key", "side", "seq", "action_type", "target", "effect", "fuzzy_type", "fuzzy_target"]
 
 
-def align(ref: DataFrame, cmp: DataFrame, fuzzy: bool = False, cells: int = CELLS, tile: int = TILE) -> DataFrame:
+def align(ref: DataFrame, cmp: DataFrame, fuzzy: bool = False, cells: int = CELLS, tile: int = TILE, rows: int = ROWS) -> DataFrame:
     """Matched positions (group_key, ref_seq, cmp_seq); both sides are numbered actions with ``group_key``."""
     from runloom.operators.actions import reduced
 
@@ -129,19 +151,24 @@ def align(ref: DataFrame, cmp: DataFrame, fuzzy: bool = False, cells: int = CELL
         df = df.withColumn("side", F.lit(number))
         blank = F.lit("")
         df = df.withColumn("fuzzy_type", F.coalesce(finer["action_type"], blank) if fuzzy else blank)
-        return df.withColumn("fuzzy_target", F.coalesce(finer["target"], blank) if fuzzy else blank).select(*SIDE)
-
-    rows = side(ref, 0).unionByName(side(cmp, 1))
-    sizes = rows.groupBy("group_key").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
-    sizes = sizes.withColumn("big", F.col("n") * F.col("m") > cells)
-    small = rows.join(sizes.filter("not big").select("group_key"), "group_key", "left_semi")
+        df = df.withColumn("fuzzy_target", F.coalesce(finer["target"], blank) if fuzzy else blank)
+        # Only positions are given back, so keys travel without what never decides (whole prompts of spawns).
+        return df.withColumns({f"{k}target": short_target(F.col(t), F.col(f"{k}target")) for k, t in (("", "action_type"), ("fuzzy_", "fuzzy_type"))}).select(*SIDE)
+
+    acts = side(ref, 0).unionByName(side(cmp, 1))
+    sizes = acts.groupBy("group_key").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m"))
+    n, m = F.col("n"), F.col("m")
+    sizes = sizes.filter((n > 0) & (m > 0)).withColumn("big", (n * m > cells) | (n + m > rows))
+    small = acts.join(sizes.filter("not big").select("group_key"), "group_key", "left_semi")
     out = small.groupBy("group_key").applyInPandas(_align_small, MATCHED)
-    big = cut_lineage(sizes.filter("big"))
+    # A tile's cells are at most tile * tile: across a side shorter than a tile it is longer along the other.
+    along = lambda across: F.when(across < tile, F.least(F.lit(max(rows, tile)), F.floor(F.lit(tile * tile) / across))).otherwise(tile).cast("bigint")
+    big = cut_lineage(sizes.filter("big").withColumns({"ti": along(m), "tj": along(n)}))
     # At most a handful of numbers per run of the loop: how many tile diagonals the longest pair needs.
-    span = big.agg(F.max(F.ceil(F.col("n") / tile) + F.ceil(F.col("m") / tile) - 2)).first()[0]
+    span = big.agg(F.max(F.ceil(n / F.col("ti")) + F.ceil(m / F.col("tj")) - 2)).first()[0]
     if span is None:
         return out
-    return out.unionByName(_align_tiled(rows, big, int(span), tile))
+    return out.unionByName(_align_tiled(acts, big, int(span)))
 
 
 BORDER = "group_key string, i long, j long, edge string, value array<int>"
@@ -199,9 +226,10 @@ def _walk_tile(rows: pd.DataFrame) -> pd.DataFrame:
     return out[["group_key", "i", "j", "at_i", "at_j", "ref_seq", "cmp_seq"]]
 
 
-def _align_tiled(rows: DataFrame, big: DataFrame, span: int, tile: int) -> DataFrame:
-    grid = big.select("group_key", F.ceil(F.col("n") / tile).alias("ni"), F.ceil(F.col("m") / tile).alias("nj"))
-    rows = rows.join(big.select("group_key"), "group_key", "left_semi").withColumn("part", F.floor(F.col("seq") / tile))
+def _align_tiled(rows: DataFrame, big: DataFrame, span: int) -> DataFrame:
+    grid = big.select("group_key", F.ceil(F.col("n") / F.col("ti")).alias("ni"), F.ceil(F.col("m") / F.col("tj")).alias("nj"))
+    rows = rows.join(big.select("group_key", "ti", "tj"), "group_key")
+    rows = rows.withColumn("part", F.floor(F.col("seq") / F.when(F.col("side") == 0, F.col("ti")).otherwise(F.col("tj")))).drop("ti", "tj")
     rows = cut_lineage(rows)
     borders = None
     for diagonal in range(span + 1):

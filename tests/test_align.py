@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from runloom.operators import align as al
 from runloom.operators import divergence as dv
@@ -62,6 +63,32 @@ def test_match_relation(kind, a, b, same):
     assert len(al._joined(side(a), side(b))) == len(al._joined(side(b), side(a))) == int(same)
 
 
+def test_lopsided_pairs_and_long_keys_stay_out_of_groups(spark, monkeypatch):
+    small = al._align_small
+
+    def guarded(rows):
+        assert len(rows) <= 5_000 and rows["target"].nunique() <= 2 and rows["target"].str.len().max() < 20
+        return small(rows)
+
+    monkeypatch.setattr(al, "_align_small", guarded)
+    row = "action_type string, target string, effect string, command string"
+    side = lambda *runs: spark.createDataFrame([(k, i, *r, "") for k, rows in runs for i, r in enumerate(rows)], f"group_key string, seq long, {row}")
+    long = [("COMMAND", "git" if i == 69_000 else "ls", "unknown") for i in range(70_000)]
+    spawns = lambda c: [("AGENT_SPAWN", f"{c}{i} prompt " * 20, "unknown") for i in range(300)] + [("FILE_READ", f"/{c}{i}/src/a.py", "unknown") for i in range(300)]
+    one = [("COMMAND", "git", "unknown")]
+    got = al.align(side(("none", long), ("one", long), ("keys", spawns("x"))), side(("one", one), ("keys", spawns("y")), ("zero", long))).collect()
+    assert sorted((r.ref_seq, r.cmp_seq) for r in got if r.group_key == "keys") == [(i, i) for i in range(600)]
+    assert [(r.group_key, r.ref_seq, r.cmp_seq) for r in got if r.group_key != "keys"] == [("one", 69_000, 0)]
+
+
+def test_short_targets_have_the_same_equivalents(spark):
+    texts = {"FILE_READ": ["", "a", "/a", "x/a", "/w/x/a", "v/x/a", "y/a", "x/", "w/x/"], "SEARCH": ["p", "p@", "p@x", "p@w/x", "p@v/w/x", "p@u/x", "p@q@", "p@q@x", "p@q"], "AGENT_SPAWN": ["one", "two"], "COMMAND": ["w/x/a", "v/x/a"]}
+    keys = pd.DataFrame([(k, t) for k, ts in texts.items() for t in ts], columns=["kind", "target"]).rename_axis("code").reset_index()
+    short = spark.createDataFrame(keys).withColumn("target", al.short_target(F.col("kind"), F.col("target"))).orderBy("code").toPandas()
+    pairs = lambda a: sorted(map(tuple, al._joined(a, a).to_numpy(int).tolist()))
+    assert pairs(keys) == pairs(short) and short["target"].nunique() < len(short)
+
+
 @pytest.mark.parametrize("order, inversions", [("edcba", 10), ("acbde", 1), ("bcdea", 4), ("ddcbaa", 6)])
 def test_ordering_counts_inversions(spark, order, inversions):
     ref = "abcd" if order == "ddcbaa" else "abcde"
