@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import archive, bpe, line_quality, multi_index, packing, sampling, shards, simhash, token_files, toxicity
+from runloom.llm import archive, bpe, line_quality, multi_index, packing, runs, sampling, shards, simhash, token_files, toxicity, variants, windows
 from runloom.llm.common import shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,3 +91,24 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     rows = line_quality.score(docs, line_quality.train(docs, table(spark, folder, "labels"), parts=4, held_out=2))
     return rows.select("doc_id", (toxicity.remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", runs.plant().alias("text"))
+    rows = runs.with_runs(docs, least=12).select("doc_id", "runs", "collapsed")
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("one"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("one.minus")
+    return rows.select("doc_id", "n_runs", "one.start", length.alias("length"), "one.period", F.floor(1000 * length / F.col("one.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op12_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.pack_windows(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=2)
+
+
+@query
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.group_variants(table(spark, folder, "documents"), every=199, least=6, fewest=5, times=5)
