@@ -19,7 +19,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,27 +105,52 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], np.nan)
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
-    return float(once / (once + 2 * twice)) if once else 0.5
+def model_ratios(counts: DataFrame, pairs: list[tuple[Column, Column]]) -> tuple[DataFrame, DataFrame]:
+    """For each pair of a toxic and an ordinary count column of ``counts`` (gram, shared) the models' log-likelihood ratios.
 
-
-def fit_words(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: np.ndarray) -> Model:
-    """The pair of models from the classes' counts of n-grams and the shared probability of each one's last letter."""
-    seen = (toxic + ordinary) > 0
-    series, counts, shared = pd.Series(grams, dtype="str")[seen].reset_index(drop=True), (toxic[seen].astype(float), ordinary[seen].astype(float)), shared[seen]
-    if not len(series):
-        return Model(*(np.zeros(0, k) for k in (np.uint64, float, np.uint64, float)))
-    context, contexts = pd.factorize(series.str.slice(0, -1))
-    log_p, log_back = [], []
-    for c in counts:
-        d = _discount(c)
-        total, kinds = np.bincount(context, c), np.bincount(context, c > 0)
-        back = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        log_back.append(np.log(np.maximum(back, 1e-9)))
-        log_p.append(np.log(np.maximum(np.maximum(c - d, 0) / np.maximum(total, 1)[context] + back[context] * shared, 1e-12)))
-    pack = lambda names, values: (lambda h: (h[o := np.argsort(h)], values[o]))(_hashes(np.stack([_codes(n) for n in names])))
-    return Model(*pack(series, log_p[0] - log_p[1]), *pack(contexts, log_back[0] - log_back[1]))
+    One table of n-grams and one of contexts, as (key, r0, r1 ...): the hash, and for each pair the ratio or null where
+    neither class has the n-gram or context. Absolute discounting; what it leaves goes to ``shared``.
+    """
+    names = [f"{side}{k}" for k in range(len(pairs)) for side in "to"]
+    rows = counts.select("gram", "shared", F.substring("gram", 1, ORDER - 1).alias("context"), *[c.alias(f"{side}{k}") for k, pair in enumerate(pairs) for side, c in zip("to", pair)])
+    once_twice = rows.agg(*[F.count_if(F.col(n) == m).alias(f"{n}_{m}") for n in names for m in (1, 2)]).first()
+    share = {n: once_twice[f"{n}_1"] / (once_twice[f"{n}_1"] + 2 * once_twice[f"{n}_2"]) if once_twice[f"{n}_1"] else 0.5 for n in names}
+    contexts = rows.groupBy("context").agg(*[F.sum(n).alias(f"{n}_total") for n in names], *[F.count_if(F.col(n) > 0).alias(f"{n}_kinds") for n in names])
+    back = lambda n: F.when(F.col(f"{n}_total") > 0, share[n] * F.col(f"{n}_kinds") / F.col(f"{n}_total")).otherwise(1.0)
+    own = lambda n: F.greatest(F.col(n) - share[n], F.lit(0.0)) / F.greatest(F.col(f"{n}_total"), F.lit(1)) + back(n) * F.col("shared")
+    log_back = lambda n: F.log(F.greatest(back(n), F.lit(1e-9)))
+    log_own = lambda n: F.log(F.greatest(own(n), F.lit(1e-12)))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                codes = [_codes(n) for n in batch.column(0).to_pylist()]
+                keys = _hashes(np.stack(codes)).view(np.int64) if codes else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *batch.columns[1:]], names=["key", *batch.schema.names[1:]])
+
+        return df.mapInArrow(run, "key bigint, " + ", ".join(f"r{k} double" for k in range(len(pairs))))
+
+    some = lambda k, end="": F.col(f"t{k}{end}") + F.col(f"o{k}{end}") > 0
+    grams = rows.join(contexts, "context").select("gram", *[F.when(some(k), log_own(f"t{k}") - log_own(f"o{k}")).alias(f"r{k}") for k in range(len(pairs))])
+    return keyed(grams), keyed(contexts.select("context", *[F.when(some(k, "_total"), log_back(f"t{k}") - log_back(f"o{k}")).alias(f"r{k}") for k in range(len(pairs))]))
+
+
+def fit_words(counts: DataFrame, pairs: list[tuple[Column, Column]]) -> list[Model]:
+    """A pair of models for each pair of count columns. The driver gets hashes and ratios of the sample's n-grams, no text."""
+    tables = []
+    for df in model_ratios(counts, pairs):
+        rows = df.toArrow()
+        keys = rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        tables.append((keys[order], [rows[f"r{k}"].to_numpy()[order] for k in range(len(pairs))]))
+    models = []
+    for k in range(len(pairs)):
+        packed = []
+        for keys, ratios in tables:
+            known = ~np.isnan(ratios[k])
+            packed += [keys[known], ratios[k][known]]
+        models.append(Model(*packed))
+    return models
 
 
 class Scorer:
@@ -274,11 +298,12 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0,
     Each fold is scored by the models of the other one, and the curve is fitted on these scores.
     """
     chosen = stored(sample_of(docs, labels, "toxic", parts, held_out, sample), "labelled")
-    counts = with_shared(stored(gram_counts(chosen), "class-counts"), shared_counts(docs)).toPandas()
-    grams, c, below = counts["gram"].tolist(), counts[[f"c{k}" for k in range(4)]].to_numpy(np.int64), counts["shared"].to_numpy(float)
-    if not len(c) or not (c[:, 0] + c[:, 2]).any() or not (c[:, 1] + c[:, 3]).any():
+    counts = stored(with_shared(stored(gram_counts(chosen), "class-counts"), shared_counts(docs)), "class-shared")
+    c = [F.col(f"c{k}") for k in range(4)]
+    any_toxic, any_ordinary = counts.agg(F.sum(c[1] + c[3]), F.sum(c[0] + c[2])).first()
+    if not any_toxic or not any_ordinary:
         return None
-    by_fold = [fit_words(grams, c[:, 2 * (1 - fold) + 1], c[:, 2 * (1 - fold)], below) for fold in (0, 1)]
+    *by_fold, whole = fit_words(counts, [(c[3], c[2]), (c[1], c[0]), (c[1] + c[3], c[0] + c[2])])
     shared, features = docs.sparkSession.sparkContext.broadcast(by_fold), [f"x{k}" for k in range(FEATURES)]
 
     def cross(batches):
@@ -288,11 +313,12 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0,
             x = np.stack([s.features(rows) for s in scorers])[folds, np.arange(len(rows))] if rows else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(FEATURES)], batch.column(1), batch.column(3)], names=[*features, "label", "weight"])
 
-    scored = chosen.mapInArrow(cross, ", ".join(f"{n} double" for n in features) + ", label int, weight double").toPandas()
-    if scored["label"].nunique() < 2:
+    scored = chosen.mapInArrow(cross, ", ".join(f"{n} double" for n in features) + ", label int, weight double").toArrow()
+    label = scored["label"].to_numpy().astype(float)
+    if len(np.unique(label)) < 2:
         return None
-    curve = fit_logistic(scored[features].to_numpy(), scored["label"].to_numpy(float), scored["weight"].to_numpy())
-    return Classifier(fit_words(grams, c[:, 1] + c[:, 3], c[:, 0] + c[:, 2], below), curve)
+    curve = fit_logistic(np.stack([scored[n].to_numpy() for n in features], axis=1), label, scored["weight"].to_numpy())
+    return Classifier(whole, curve)
 
 
 def score(docs: DataFrame, classifier: Classifier | None, text: str = "text", into: str = "score") -> DataFrame:
