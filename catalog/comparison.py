@@ -164,22 +164,22 @@ EXTRA = """, ex AS (SELECT cm.*, row_number() OVER (PARTITION BY cm.g ORDER BY s
  t4 AS (SELECT t3.*, sq AND (e > min(CASE WHEN sq THEN e END) OVER (PARTITION BY g, target) OR EXISTS (SELECT 1 FROM cm w JOIN al ON al.g = w.g AND cmp_seq = w.seq WHERE w.g = t3.g AND w.kind = 'SEARCH' AND w.target = t3.target)) AS again FROM t3),
  t5 AS (SELECT t4.*, NOT (k1 OR early OR again) AND kind = 'FILE_READ' AND effect = 'unknown' AND NOT EXISTS (SELECT 1 FROM cm w JOIN al ON al.g = w.g AND cmp_seq = w.seq WHERE w.g = t4.g AND w.target = t4.target AND w.step_idx > t4.step_idx) AS broad FROM t4),
  t6 AS (SELECT *, NOT (k1 OR early OR again OR broad) AND kind IN ('FILE_READ', 'SEARCH') AND effect = 'unknown' AS idle FROM t5),
- de AS (SELECT g, min(step_idx) AS a, max(step_idx) AS b, count(*) AS n, sum(share) AS tok FROM (SELECT *, e - row_number() OVER (PARTITION BY g, idle ORDER BY e) AS dead FROM t6) WHERE idle GROUP BY g, dead HAVING count(*) >= 2),
+ de AS (SELECT g, min(step_idx) AS a, max(step_idx) AS b, count(*) AS n, sum(share) AS tok, arg_min(kind || '(' || target || ')', e) AS f, arg_max(kind || '(' || target || ')', e) AS l FROM (SELECT *, e - row_number() OVER (PARTITION BY g, idle ORDER BY e) AS dead FROM t6) WHERE idle GROUP BY g, dead HAVING count(*) >= 2),
  fu AS (SELECT r.g, r.f AS r, c.f AS c, c.s FROM (SELECT g, kind, target, min(seq) AS f FROM rf GROUP BY ALL) r JOIN (SELECT g, kind, target, min(seq) AS f, arg_min(step_idx, seq) AS s FROM cm GROUP BY ALL) c ON c.g = r.g AND c.kind = r.kind AND c.target = r.target),
  iv AS (SELECT a.g, count(*) AS inv FROM fu a JOIN fu b ON a.g = b.g AND a.c < b.c AND a.r > b.r GROUP BY a.g),
  od AS (SELECT fu.g, count(*) AS common, any_value(coalesce(inv, 0)) AS inversions, min(s) AS first_step, max(s) AS last_step FROM fu LEFT JOIN iv ON iv.g = fu.g GROUP BY fu.g HAVING count(*) >= 3),
  oe AS (SELECT *, common * (common - 1) // 2 AS possible, greatest(1, CAST(ceil((common * (common - 1) // 2) * 0.3::DOUBLE) AS BIGINT)) AS threshold FROM od),
  pt AS (SELECT g, CASE WHEN coalesce(nx - step_idx, 999) <= 3 THEN 'reverted_and_rewritten' ELSE 'iterative_refinement' END AS type, 'write_retry' AS parent_type, step_idx AS first_step, step_idx AS last_step, 1 AS steps, share AS tokens,
-     CASE WHEN coalesce(nx - step_idx, 999) <= 3 THEN least(0.9, 0.7 + (3 - (nx - step_idx)) * 0.1) ELSE greatest(0.3, 0.5 - (coalesce(nx - step_idx, 999) - 3) * 0.02) END AS confidence FROM t6 WHERE kind = 'FILE_WRITE' AND effect = 'reverted'
-   UNION ALL SELECT g, 'error_recovery_overhead', NULL, s0, step_idx, 2, share + h0, 0.8 FROM (SELECT *, lag(step_idx) OVER (PARTITION BY g, kind, target ORDER BY e) AS s0, lag(share) OVER (PARTITION BY g, kind, target ORDER BY e) AS h0 FROM t6) WHERE follows
-   UNION ALL SELECT g, 'premature_validation', NULL, step_idx, step_idx, 1, share, PREMATURE FROM t6 WHERE early
-   UNION ALL SELECT g, 'redundant_search', NULL, step_idx, step_idx, 1, share, REDUNDANT FROM t6 WHERE again
-   UNION ALL SELECT g, 'broad_exploration', NULL, step_idx, step_idx, 1, share, 0.5 FROM t6 WHERE broad
-   UNION ALL SELECT g, 'dead_end_branch', NULL, a, b, n, CAST(tok AS BIGINT), least(0.8, 0.5 + n * 0.1) FROM de
-   UNION ALL SELECT g, 'ordering_inefficiency', NULL, first_step, last_step, common, 0, least(0.9, 0.5 + inversions / possible::DOUBLE * 0.4) FROM oe WHERE inversions >= threshold)"""
+     CASE WHEN coalesce(nx - step_idx, 999) <= 3 THEN least(0.9, 0.7 + (3 - (nx - step_idx)) * 0.1) ELSE greatest(0.3, 0.5 - (coalesce(nx - step_idx, 999) - 3) * 0.02) END AS confidence, 'FILE_WRITE(' || target || ') [reverted] → rewrite at +' || coalesce(nx - step_idx, 999) || ' steps' AS evidence FROM t6 WHERE kind = 'FILE_WRITE' AND effect = 'reverted'
+   UNION ALL SELECT g, 'error_recovery_overhead', NULL, s0, step_idx, 2, share + h0, 0.8, kind || '(' || target || ') [failed], then again' FROM (SELECT *, lag(step_idx) OVER (PARTITION BY g, kind, target ORDER BY e) AS s0, lag(share) OVER (PARTITION BY g, kind, target ORDER BY e) AS h0 FROM t6) WHERE follows
+   UNION ALL SELECT g, 'premature_validation', NULL, step_idx, step_idx, 1, share, PREMATURE, 'COMMAND(' || target || ') before first write' FROM t6 WHERE early
+   UNION ALL SELECT g, 'redundant_search', NULL, step_idx, step_idx, 1, share, REDUNDANT, 'SEARCH(' || target || ') repeated' FROM t6 WHERE again
+   UNION ALL SELECT g, 'broad_exploration', NULL, step_idx, step_idx, 1, share, 0.5, 'FILE_READ(' || target || ')' FROM t6 WHERE broad
+   UNION ALL SELECT g, 'dead_end_branch', NULL, a, b, n, CAST(tok AS BIGINT), least(0.8, 0.5 + n * 0.1), n || ' actions from ' || f || ' to ' || l FROM de
+   UNION ALL SELECT g, 'ordering_inefficiency', NULL, first_step, last_step, common, 0, least(0.9, 0.5 + inversions / possible::DOUBLE * 0.4), inversions || ' inversions across ' || common || ' unique common actions (threshold ' || threshold || ')' FROM oe WHERE inversions >= threshold)"""
 EXTRA = EXTRA.replace("PREMATURE", "0.5").replace("REDUNDANT", "0.7")
 
-PATTERN_SQL = """ SELECT CAST(g AS VARCHAR) AS group_key, type, parent_type, first_step, last_step, steps::BIGINT AS steps, tokens::BIGINT AS tokens, round(confidence, 2)::DOUBLE AS confidence FROM pt"""
+PATTERN_SQL = """ SELECT CAST(g AS VARCHAR) AS group_key, type, parent_type, first_step, last_step, steps::BIGINT AS steps, tokens::BIGINT AS tokens, round(confidence, 2)::DOUBLE AS confidence, evidence FROM pt"""
 
 
 def _patterns(spark, d):
@@ -189,7 +189,14 @@ def _patterns(spark, d):
 
 @query("i14_i20_divergence_patterns", events_sql(PAIR + EXTRA + PATTERN_SQL))
 def i14(spark, d):
-    return _patterns(spark, d)[1].drop("evidence")
+    return _patterns(spark, d)[1]
+
+
+@query("i18_dead_end_actions", events_sql(PAIR + EXTRA + """, dx AS (SELECT *, e - row_number() OVER (PARTITION BY g, idle ORDER BY e) AS dead FROM t6), dn AS (SELECT *, count(*) OVER (PARTITION BY g, dead) AS n, min(step_idx) OVER (PARTITION BY g, dead) AS first_step, e - min(e) OVER (PARTITION BY g, dead) AS position FROM dx WHERE idle)
+  SELECT CAST(g AS VARCHAR) AS group_key, first_step, position, step_idx, kind AS action_type, target FROM dn WHERE n >= 2"""))
+def i18(spark, d):
+    p = pairs(spark, d)[1]
+    return dv.dead_end_actions(p.ref, p.cmp, p.matched)
 
 
 @query("i19_ordering", events_sql(PAIR + EXTRA + " SELECT CAST(g AS VARCHAR) AS group_key, common, first_step, last_step, inversions, possible, threshold FROM oe"))

@@ -1,10 +1,13 @@
 """Sources: logs rendered from the given tables as vendor JSON, then read back by the source operators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.sql import events_sql
 from runloom.operators.slices import with_slice
+from runloom.session import shared_folder
 from runloom.sources import claude_code as cc, logs, sidecars as sc, usage as us
 from runloom.sources.bridges import chat_runs, event_runs, table
 
@@ -135,10 +138,10 @@ def s10p(spark, d):
     return cc.convert(cc.read_entries(entry_lines(spark, d))).parts.select("traj_id", "step_idx", "part_pos", "type")
 
 
-@query("s12_sub_agents", EV + """SELECT user_id AS traj_id, count(*) AS entries FROM ev GROUP BY user_id""")
+@query("s12_sub_agents", EV + """SELECT user_id AS traj_id, count(*) FILTER (user_id % 2 = 0 OR k % 10 <> 9 OR kind < 2) AS entries FROM ev, (SELECT unnest([0, 1, 2]) AS kind) GROUP BY user_id""")
 def s12(spark, d):
-    """Runs with even ids list their sub-agent, so the inline copies of it are left out."""
-    e = cc.read_entries(entry_lines(spark, d)).filter("index % 3 = 0")
+    """Runs with even ids list their sub-agent, so the inline copies of it are left out; else its entries count unless they only bring results."""
+    e = cc.read_entries(entry_lines(spark, d))
     sub = e.filter("agent_id is not null")
     both = cc.sub_agent_entries(e.filter("agent_id is null"), sub.filter("traj_id % 2 = 0"), sub)
     return both.groupBy("traj_id").agg(F.count("*").alias("entries"))
@@ -200,12 +203,13 @@ def s19(spark, d):
 
 
 @query("s40_export_statistics", events_sql("""SELECT traj_id, count(DISTINCT agent) AS sessions, count(DISTINCT agent) FILTER (agent <> '') AS subagent_sessions, count(*) AS total_messages, count(*) FILTER (is_user) AS user_messages,
-   count(*) FILTER (NOT is_user) AS assistant_messages, count(tool_name) AS tool_parts, count(*) FILTER (NOT is_user AND k % 4 = 0) AS reasoning_parts FROM st GROUP BY traj_id"""))
+   count(*) FILTER (NOT is_user) AS assistant_messages, count(tool_name) AS tool_parts, count(*) FILTER (NOT is_user AND k % 4 = 0) AS reasoning_parts,
+   count(*) + count(*) FILTER (NOT is_user AND k % 4 = 0) + count(tool_name) + count(*) FILTER (event_type = 'purchase' AND k % 3 = 0) + count(*) FILTER (tool_name = 'TodoWrite' AND k % 5 = 0) AS total_parts FROM st GROUP BY traj_id"""))
 def s40(spark, d):
     from catalog.sequence import tagged
 
     runs = event_runs(spark, d)
-    return us.export_statistics(tagged(runs)[0], runs.parts).drop("total_parts")
+    return us.export_statistics(tagged(runs)[0], runs.parts)
 
 
 @query("s33_label_sidecars", "SELECT CAST(o_custkey AS VARCHAR) AS path, o_orderkey AS step_idx, 'debug' AS phase FROM orders WHERE o_custkey % 4 <> 0")
@@ -262,4 +266,8 @@ def s29(spark, d):
 
 @query("s39_sliced_report", events_sql(" SELECT traj_id, step_idx // 4096 AS slice, count(*) AS steps FROM st GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY traj_id, step_idx // 4096")))
 def s39(spark, d):
-    return with_slice(event_runs(spark, d).steps).groupBy("traj_id", "slice").agg(F.count("*").alias("steps"))
+    """Written to the report folder, committed, and read back."""
+    folder = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    report = with_slice(event_runs(spark, d).steps).groupBy("traj_id", "slice").agg(F.count("*").alias("steps"))
+    sc.commit_report(report, folder, "steps", kind="json")
+    return sc.read_report(spark, folder, "steps")

@@ -83,10 +83,11 @@ def v09(spark, d):
 
 
 @query("v10_brief", events_sql(""" SELECT traj_id, 0::BIGINT AS line_no, count(*) || ' steps, ' || CAST(sum(cents) AS BIGINT) || ' tokens, ' || count(tool_name) || ' tool calls' AS text FROM st GROUP BY traj_id
-   UNION ALL SELECT traj_id, 1, count(*) FILTER (failed OR coalesce(exit_code, 0) <> 0) || ' failed calls' FROM st GROUP BY traj_id"""))
+   UNION ALL SELECT traj_id, 1, count(*) FILTER (failed OR coalesce(exit_code, 0) <> 0) || ' failed calls' FROM st GROUP BY traj_id
+   UNION ALL SELECT traj_id, 2, (w + 50) // 100 // 10 || '.' || (w + 50) // 100 % 10 || ' s on the clock' FROM (SELECT traj_id, CAST(CASE WHEN max(completed) > min(created) THEN max(completed) - min(created) ELSE sum(cents) END AS BIGINT) AS w FROM st GROUP BY traj_id)"""))
 def v10(spark, d):
     runs = event_runs(spark, d)
-    return v.brief(m.scorecard(runs.steps, runs.calls)).filter("line_no < 2").withColumn("line_no", F.col("line_no").cast("bigint"))
+    return v.brief(m.scorecard(runs.steps, runs.calls)).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
 @query("p32_agent_labels", events_sql("SELECT DISTINCT traj_id, eff_agent AS agent, CASE WHEN eff_agent = '' THEN 'main' ELSE eff_agent END AS label FROM st"))

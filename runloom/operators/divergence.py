@@ -102,7 +102,22 @@ def _recoveries(rows: DataFrame) -> DataFrame:
 
 
 def divergence_patterns(ref: DataFrame, cmp: DataFrame, matched: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """All divergence patterns of every pair. Stages run in order; an extra explained once is not explained again."""
+    """All divergence patterns of every pair. Stages run in order; an extra explained once is not explained again.
+
+    The evidence of a dead end names its first and last action; :func:`dead_end_actions` lists all of them.
+    """
+    return _explained(ref, cmp, matched, anchors)[0]
+
+
+def dead_end_actions(ref: DataFrame, cmp: DataFrame, matched: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Every action of every dead end: group_key, first_step of the dead end, position in it from 0, step_idx, action_type and target."""
+    idle = _explained(ref, cmp, matched, anchors)[1]
+    ends = idle.groupBy("group_key", "island").agg(F.count("*").alias("n"), F.min("step_idx").alias("first_step")).filter("n >= 2")
+    return idle.join(ends, ["group_key", "island"]).select("group_key", "first_step", (F.col("extra") - F.col("island")).alias("position"), "step_idx", "action_type", "target")
+
+
+def _explained(ref: DataFrame, cmp: DataFrame, matched: DataFrame, anchors: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(patterns, the idle extras that nothing else explains, by stretch)."""
     rows = cut_lineage(_recoveries(extras(cmp, matched)))
     retry = _write_retries(rows, cmp)
     recover = _pattern(
@@ -152,12 +167,14 @@ def divergence_patterns(ref: DataFrame, cmp: DataFrame, matched: DataFrame, anch
     rows = rows.withColumn("taken", F.col("taken") | F.col("broad"))
     idle = ~F.col("taken") & F.col("action_type").isin("FILE_READ", "SEARCH") & (F.col("effect") == "unknown")
     rows = with_slice(rows.withColumn("idle", idle), idx="extra")
-    runs = islands(rows, ["idle"], keys=PAIR, idx="extra").filter("idle").groupBy("group_key", "island").agg(
+    stretches = islands(rows, ["idle"], keys=PAIR, idx="extra").filter("idle")
+    action = F.concat("action_type", F.lit("("), "target", F.lit(")"))
+    runs = stretches.groupBy("group_key", "island").agg(
         F.count("*").alias("n"), F.sum("token_share").alias("tok"), F.min("step_idx").alias("a"), F.max("step_idx").alias("b"),
-        F.min_by(F.concat("action_type", F.lit("("), "target", F.lit(")")), "extra").alias("first"),
+        F.min_by(action, "extra").alias("first"), F.max_by(action, "extra").alias("last"),
     ).filter("n >= 2")
     dead = _pattern(
-        runs, "dead_end_branch", F.least(F.lit(0.8), 0.5 + F.col("n") * 0.1), F.concat("first", F.lit(", …")),
+        runs, "dead_end_branch", F.least(F.lit(0.8), 0.5 + F.col("n") * 0.1), F.format_string("%d actions from %s to %s", "n", "first", "last"),
         first_step=F.col("a"), last_step=F.col("b"), steps=F.col("n"), tokens=F.col("tok"),
     )
     order = ordering(ref, cmp).filter("inversions >= threshold")
@@ -166,7 +183,7 @@ def divergence_patterns(ref: DataFrame, cmp: DataFrame, matched: DataFrame, anch
         F.format_string("%d inversions across %d unique common actions (threshold %d)", "inversions", "common", "threshold"),
         first_step=F.col("first_step"), last_step=F.col("last_step"), steps=F.col("common"), tokens=F.lit(0),
     )
-    return reduce(DataFrame.unionByName, [retry, recover, premature, redundant, explore, reorder, dead])
+    return reduce(DataFrame.unionByName, [retry, recover, premature, redundant, explore, reorder, dead]), stretches
 
 
 def ordering(ref: DataFrame, cmp: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:

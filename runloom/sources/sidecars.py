@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runloom.session import cut_lineage
 
@@ -69,9 +74,36 @@ def session_tree(sessions: DataFrame, max_depth: int | None = None) -> DataFrame
     return found
 
 
-def write_reports(reports: DataFrame, folder: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:
-    reports.write.mode("overwrite").partitionBy(*by).format(kind).save(folder)
-
+def commit_report(report: DataFrame, folder: str, name: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> bool:
+    """Write ``report`` once under ``name`` below ``folder``; False where it was committed before.
 
-def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+    Rows go to a place of this attempt; the manifest entry that names it is written last and never replaced. An attempt that
+    breaks off, or comes second, leaves rows that no entry names, so nobody reads them.
+    """
+    spark = report.sparkSession
+    if _entries(spark, folder, name) is not None:
+        return False
+    attempt = uuid.uuid4().hex
+    report.write.partitionBy(*by).format(kind).save(f"{folder}/rows/report={name}/attempt={attempt}")
+    entry = spark.createDataFrame([(attempt, kind, report.schema.json())], "attempt string, kind string, schema string")
+    try:
+        entry.coalesce(1).write.mode("error").json(f"{folder}/manifest/report={name}")
+    except AnalysisException:  # someone else was first
+        return False
+    return True
+
+
+def _entries(spark: SparkSession, folder: str, name: str) -> Row | None:
+    try:
+        return spark.read.schema("attempt string, kind string, schema string").json(f"{folder}/manifest/report={name}").orderBy("attempt").first()
+    except AnalysisException:
+        return None
+
+
+def read_report(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The committed rows of the report ``name``."""
+    entry = _entries(spark, folder, name)
+    if entry is None:
+        raise ValueError(f"no report {name} below {folder}")
+    schema = T.StructType.fromJson(json.loads(entry["schema"]))
+    return spark.read.schema(schema).format(entry["kind"]).load(f"{folder}/rows/report={name}/attempt={entry['attempt']}")
