@@ -9,18 +9,21 @@ until one is left. Those, one a partition, are laid end to end and cut into sequ
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runloom.llm.common import stored
-from runloom.llm.encoders import Memo
+from runloom.llm.encoders import Memo, byte_letters
 
 #: Open windows of a partition.
 OPEN = 64
@@ -28,18 +31,39 @@ OPEN = 64
 PLACED = "part int, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence bigint, offset bigint, ids binary"
 
 
+#: The word pattern of this kind of vocabulary (public, given with the tokenizer), over lower-cased text.
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Latin letters are composed already and lower-cased one by one; other text, control characters, other white space
+#: and marks of special tokens are left to the library.
+OTHER = re.compile("[\x00-\x1f\x7f-\xa0\xad\u0250-\U0010ffff]|<\\|")
+
+
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers, for vocabularies that drop white space.
 
     The words' pattern has no white space and composition never crosses it, so what lies between two ASCII
-    white-space characters is encoded by the library alone, once for each distinct piece in the memo.
+    white-space characters is encoded alone. Such a piece is cut by the pattern and its words go to the
+    library's model; pieces with anything but Latin letters, digits and signs go to the library whole.
+    Both are remembered in memos of bounded size.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.chunks = Memo(lambda piece: array("I", self.library.encode(piece.decode(), add_special_tokens=False).ids).tobytes())
+        self.model, self.letters = self.library.model, byte_letters()
+        self.chunks, self.words = Memo(self.chunk), Memo(self.word)
+
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(charmap_decode(word.encode(), "strict", self.letters)[0])]).tobytes()
+
+    def chunk(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        if OTHER.search(text):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        lowered = text.lower()
+        return b"".join(map(self.words.__getitem__, ASCII_WORD.findall(lowered) if text.isascii() else WORD.findall(lowered)))
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.encode().split()))
