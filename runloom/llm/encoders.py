@@ -63,12 +63,12 @@ class Memo(dict):
 class TextEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers. Special tokens in a text are found as the library finds them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.chunks = Memo(self.chunk)
+        self.chunks = Memo(self.chunk, memo)
 
     def chunk(self, data: bytes) -> bytes:
         raise NotImplementedError
@@ -87,10 +87,10 @@ class TextEncoder:
 class LibraryEncoder(TextEncoder):
     """The ``tokenizers`` library's BPE model over words, each distinct word encoded once."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, memo: int = MEMO):
+        super().__init__(path, memo)
         self.model, self.letters = Tokenizer.from_file(path).model, byte_letters()
-        self.parts = Memo(lambda word: self.chunks.get(word) or self.word(word))
+        self.parts = Memo(lambda word: self.chunks.get(word) or self.word(word), memo)
 
     def word(self, word: bytes) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(charmap_decode(word, "strict", self.letters)[0])]).tobytes()
@@ -102,9 +102,9 @@ class LibraryEncoder(TextEncoder):
 
 
 @lru_cache(2)
-def library_encoder(path: str) -> LibraryEncoder:
+def library_encoder(path: str, memo: int = MEMO) -> LibraryEncoder:
     """One per worker process."""
-    return LibraryEncoder(path)
+    return LibraryEncoder(path, memo)
 
 
 def id_lists(raw: list[bytes]) -> pa.Array:

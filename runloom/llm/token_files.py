@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from runloom.llm.common import extend, texts
 from runloom.llm.encoders import id_lists, library_encoder
 
+#: Chunks remembered by a worker, in each of two generations: a task holds little else.
+MEMO = 400_000
 FILE = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("part_start", T.LongType()),
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -37,7 +39,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, stripe_by
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder, start = library_encoder(tokenizer), 0
+        encoder, start = library_encoder(tokenizer, MEMO), 0
         for batch in batches:
             raw = [encoder.encode(t) + end for t in texts(batch.column(1))]
             sizes = [len(r) // 4 for r in raw]
