@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +62,16 @@ def extend(df: DataFrame, needs: list[str], fields: list[T.StructField], compute
 def texts(column: pa.Array) -> list[str]:
     """The column's texts, null as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def by_size(rows: list[str], count: int, letters: int = 4_000_000) -> Iterator[list[str]]:
+    """Consecutive rows, at most ``count`` and ``letters`` together; a longer text stands alone."""
+    held, size = [], 0
+    for row in rows:
+        if held and (len(held) == count or size + len(row) > letters):
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row)
+    if held:
+        yield held

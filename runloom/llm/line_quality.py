@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm.common import extend, texts
+from runloom.llm.common import by_size, extend, texts
 from runloom.llm.toxicity import fit_logistic, probability, sample_of
 
 #: Labelled documents of each class that the field is fitted on: the bound of what the driver sees.
@@ -222,15 +222,19 @@ def line_marginals(text: str, classifier: Classifier) -> list[float]:
 
 
 def score(docs: DataFrame, classifier: Classifier | None, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of good quality in ``into``; without a classifier it is 1. A null text is empty, an empty text one empty line."""
+    """``docs`` with the probability of good quality in ``into``; without a classifier it is 1. A null text is empty, an empty text one empty line.
+
+    Every row is scored by itself, so repeated rows get equal scores, and an empty table stays empty. A column named as ``into``
+    is replaced, all others are kept. A task holds the features of at most ``GROUP`` texts and four million letters, or of one text.
+    """
     if classifier is None:
         return docs.withColumn(into, F.lit(1.0))
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def compute(column):
         rows, out = texts(column), [np.zeros(0)]
-        for a in range(0, len(rows), GROUP):
-            x, length, sizes = line_features(rows[a : a + GROUP])
+        for part in by_size(rows, GROUP):
+            x, length, sizes = line_features(part)
             out.append(probability(aggregate(shared.value.field.lines(x, sizes), length, sizes), shared.value.curve))
         return [pa.array(np.concatenate(out), pa.float64())]
 

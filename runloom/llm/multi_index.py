@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SAMPLE = 16_384
 #: Vectors in a block and queries in a batch: the bound of what a reranking task holds.
 BLOCK, BATCH = 16_384, 4_096
+#: Queries whose cells one task finds.
+WALKS = 64
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,13 @@ def search(index: Index, queries: DataFrame, top: int, share: float = 0.6) -> Da
         fill += int(counts[cell])
         if pieces[cell] > 1:
             block, fill = block + int(pieces[cell]), 0
-    batches_of_queries = max(1, math.ceil(queries.count() / BATCH))
+    asking = queries.select("vec_id", "vec").dropDuplicates(["vec_id"])
+    n_queries = asking.count()
+    batches_of_queries = max(1, math.ceil(n_queries / BATCH))
+
+    def dealt(query: int) -> int:
+        """A query's batch: by a hash, as ids may all be multiples of one number."""
+        return (((query * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 33) % batches_of_queries
 
     def place(batches):
         for batch in batches:
@@ -141,7 +149,7 @@ def search(index: Index, queries: DataFrame, top: int, share: float = 0.6) -> Da
                 cells = np.array(walk((-(halves[0] @ vec[:half]), -(halves[1] @ vec[half:])), counts, wanted), np.int64)
                 spread = np.concatenate([np.stack([first[cells] + k, cells], 1)[pieces[cells] > k] for k in range(int(pieces[cells].max()))])
                 for b in np.unique(spread[:, 0]).tolist():
-                    out.append((b, query % batches_of_queries, query, vec.tolist(), spread[spread[:, 0] == b, 1].astype(np.int32).tolist()))
+                    out.append((b, dealt(query), query, vec.tolist(), spread[spread[:, 0] == b, 1].astype(np.int32).tolist()))
             yield pa.RecordBatch.from_pylist([dict(zip(("block", "batch", "query_id", "vec", "cells"), row)) for row in out], schema=opened)
 
     opened = pa.schema([("block", pa.int32()), ("batch", pa.int64()), ("query_id", pa.int64()), ("vec", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32()))])
@@ -153,13 +161,15 @@ def search(index: Index, queries: DataFrame, top: int, share: float = 0.6) -> Da
             x, q = _matrix(left["vec"].combine_chunks()), _matrix(right["vec"].combine_chunks())
             names, column = np.unique(np.asarray(left["cell"]), return_inverse=True)
             ids, queries, cells = left["ids"].to_pylist(), right["query_id"].to_pylist(), right["cells"].to_pylist()
+            longest = float(np.sqrt((x * x).sum(1).max()))
             for start in range(0, len(q), 256):
                 score = q[start : start + 256] @ x.T
                 for i, row in enumerate(score):
                     opened_here = np.isin(names, cells[start + i], assume_unique=True)
                     row[~opened_here[column]] = -np.inf
-                    best = np.argpartition(-row, top)[: top + 1] if len(row) > top + 1 else np.arange(len(row))
-                    best = best[row[best] > -np.inf]
+                    # all that may tie with the last one kept, whatever the matrix product rounds
+                    least = np.partition(row, -top - 1)[-top - 1] - 1e-12 * x.shape[1] * longest * float(np.linalg.norm(q[start + i])) if len(row) > top + 1 else -np.inf
+                    best = np.flatnonzero((row >= least) & (row > -np.inf))
                     exact = (x[best] * q[start + i]).sum(1)
                     found = sorted({(-s, v) for s, b in zip(exact.tolist(), best.tolist()) for v in ids[b] if v != queries[start + i]})[:top]
                     out["query_id"] += [queries[start + i]] * len(found)
@@ -169,7 +179,8 @@ def search(index: Index, queries: DataFrame, top: int, share: float = 0.6) -> Da
 
     placed = index.vectors.mapInArrow(place, "vec array<double>, ids array<bigint>, cell int, block int")
     placed = placed.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches_of_queries - 1)).cast("array<bigint>")))
-    asked = queries.select("vec_id", "vec").dropDuplicates(["vec_id"]).mapInArrow(open_cells, "block int, batch bigint, query_id bigint, vec array<double>, cells array<int>")
+    # the walks are the work of a query, so they are spread over many tasks however small the queries are
+    asked = asking.repartition(max(1, math.ceil(n_queries / WALKS)), "vec_id").mapInArrow(open_cells, "block int, batch bigint, query_id bigint, vec array<double>, cells array<int>")
     found = placed.groupBy("block", "batch").cogroup(asked.groupBy("block", "batch")).applyInArrow(rerank, "query_id bigint, vec_id bigint, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.llm.common import extend, stored, texts
+from runloom.llm.common import by_size, extend, stored, texts
 
 WORDS = re.compile(r"\w+")
 #: Letters of the highest order, and what stands before and after a word.
@@ -295,7 +295,9 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Classifier | None:
     """The models and the curve from ``labels`` (doc_id, toxic) and the texts of all ``docs``; None without both classes.
 
-    Each fold is scored by the models of the other one, and the curve is fitted on these scores.
+    Each fold is scored by the models of the other one, and the curve is fitted on these scores. Rows without an id are never
+    labelled but count for the corpus, as do empty and repeated texts (an n-gram counts once whatever holds it); of several
+    labels of one id one counts. Other columns are left aside; no rows or no labels give None.
     """
     chosen = stored(sample_of(docs, labels, "toxic", parts, held_out, sample), "labelled")
     counts = stored(with_shared(stored(gram_counts(chosen), "class-counts"), shared_counts(docs)), "class-shared")
@@ -322,7 +324,11 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0,
 
 
 def score(docs: DataFrame, classifier: Classifier | None, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the probability of being toxic in ``into``; without a classifier it is 0. A null text is empty."""
+    """``docs`` with the probability of being toxic in ``into``; without a classifier it is 0. A null text is empty.
+
+    Every row is scored by itself, so repeated rows get equal scores, and an empty table stays empty. A column named as ``into``
+    is replaced, all others are kept.
+    """
     if classifier is None:
         return docs.withColumn(into, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
@@ -333,7 +339,7 @@ def score(docs: DataFrame, classifier: Classifier | None, text: str = "text", in
             scorer.append(Scorer(shared.value.model))
         rows = texts(column)
         # a few documents at a time keep the sets of new words small
-        parts = [scorer[0].features(rows[a : a + 500]) for a in range(0, len(rows), 500)]
+        parts = [scorer[0].features(part) for part in by_size(rows, 500)]
         return [pa.array(probability(np.concatenate(parts), shared.value.curve) if parts else np.zeros(0), pa.float64())]
 
     return extend(docs, [text], [T.StructField(into, T.DoubleType())], compute)
