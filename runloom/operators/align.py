@@ -32,17 +32,21 @@ def numbered(acts: DataFrame) -> DataFrame:
     return rows.withColumn("seq", (F.col("_n") - 1).cast("bigint")).drop("_n")
 
 
-def _head(kind: pd.Series, target: pd.Series) -> pd.Series:
-    """What equivalent targets of a kind have in common: the search pattern, the file name, nothing for spawns, else all."""
-    pattern, name = target.str.replace(r"@[^@]*$", "", regex=True), target.str.rsplit("/", n=1).str[-1]
-    head = target.where(kind != "SEARCH", pattern).where(~kind.isin(["FILE_READ", "FILE_WRITE"]), name)
-    return head.where(kind != "AGENT_SPAWN", "")
+def _key(kind: str, target: str) -> tuple[str, str]:
+    """(head, end) of a key: what equivalent targets of a kind have in common, and what decides between them.
 
-
-def _path_of(kind: pd.Series, target: pd.Series) -> pd.Series:
-    """The path that decides between targets with one head: the file itself or the search's scope."""
-    scope = target.str.extract(r"@([^@]*)$", expand=False).fillna("")
-    return target.where(kind != "SEARCH", scope).where(kind.isin(["SEARCH", "FILE_READ", "FILE_WRITE"]), "")
+    The head is a search's pattern, a file's name, nothing of a spawn, else the target. The end is the last two parts of
+    the file's path or the search's scope.
+    """
+    head, path = target, ""
+    if kind == "SEARCH":
+        pattern, at, scope = target.rpartition("@")
+        head, path = (pattern, scope) if at else (target, "")
+    elif kind in ("FILE_READ", "FILE_WRITE"):
+        head, path = target.rsplit("/", 1)[-1], target
+    elif kind == "AGENT_SPAWN":
+        head = ""
+    return head, "/".join(path.split("/")[-2:])
 
 
 def short_target(kind: Column, target: Column) -> Column:
@@ -57,45 +61,71 @@ def short_target(kind: Column, target: Column) -> Column:
     )
 
 
-def _joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Equivalent keys (code_x, code_y) of both sides (code, kind, target): equal joins on kind, head and the end of the path.
+def _related(left: list[tuple[str, str]], right: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """Places of equivalent keys (kind, target) of both sides: look-ups by kind, head and the end of the path.
 
     Paths agree if one ends in the other or both end in the same two parts, so the last two parts decide: they are
     equal, or one path is the bare last part of the other. A search without scope fits any. Of short targets
     a key has at most three equivalents but for bare and empty paths, so there are no more pairs than a few per key.
     """
-    on = ["kind", "head"]
-    x, y = (df[["code", "kind"]].assign(head=_head(df["kind"], df["target"]), end=_path_of(df["kind"], df["target"]).str.split("/").str[-2:].str.join("/")) for df in (left, right))
-    found = [x.merge(y, on=[*on, "end"])]
-    for a, b, names in ((x, y, ("_x", "_y")), (y, x, ("_y", "_x"))):
-        whole, bare = a["end"].str.contains("/", regex=False).astype(bool), ~b["end"].str.contains("/", regex=False).astype(bool) & (b["end"] != "")
-        found.append(a[whole].assign(end=a.loc[whole, "end"].str.rsplit("/", n=1).str[-1]).merge(b[bare], on=[*on, "end"], suffixes=names))
-        found.append(a[a["end"] != ""].merge(b[(b["end"] == "") & (b["kind"] == "SEARCH")], on=on, suffixes=names))
-    return pd.concat([f[["code_x", "code_y"]] for f in found], ignore_index=True)
+    found = []
+    sides = [[(kind, *_key(kind, target)) for kind, target in keys] for keys in (left, right)]
+    whole: dict = {}
+    for j, key in enumerate(sides[1]):
+        whole.setdefault(key, []).append(j)
+    for i, key in enumerate(sides[0]):
+        found += [(i, j) for j in whole.get(key, ())]
+    for turned in (False, True):
+        x, y = sides[::-1] if turned else sides
+        bare: dict = {}
+        for j, (kind, head, end) in enumerate(y):
+            if "/" not in end and (end or kind == "SEARCH"):
+                bare.setdefault((kind, head, end), []).append(j)
+        for i, (kind, head, end) in enumerate(x):
+            hits = bare.get((kind, head, end.rsplit("/", 1)[-1]), ()) if "/" in end else ()
+            if "/" in end and not end.endswith("/"):
+                found += [(j, i) if turned else (i, j) for j in hits]
+            if end:
+                found += [(j, i) if turned else (i, j) for j in bare.get((kind, head, ""), ())]
+    return found
+
+
+def _joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Equivalent keys (code_x, code_y) of both sides (code, kind, target)."""
+    keys = [list(zip(df["kind"], df["target"])) for df in (left, right)]
+    codes = [df["code"].tolist() for df in (left, right)]
+    return pd.DataFrame([(codes[0][i], codes[1][j]) for i, j in _related(*keys)], columns=["code_x", "code_y"])
 
 
-def _coded(df: pd.DataFrame, kind: str, target: str) -> tuple[np.ndarray, pd.DataFrame]:
-    """Code of every row's key, and the distinct keys (code, kind, target)."""
-    codes, keys = pd.factorize(pd.MultiIndex.from_frame(df[[kind, target]].fillna("")))
-    return codes, pd.DataFrame(list(keys), columns=["kind", "target"]).assign(code=range(len(keys)))
+def _coded(kinds: list, targets: list) -> tuple[np.ndarray, list[tuple[str, str]]]:
+    """Code of every row's key, and the distinct keys."""
+    names: dict = {}
+    codes = [names.setdefault((k or "", t or ""), len(names)) for k, t in zip(kinds, targets)]
+    return np.array(codes, np.int64), list(names)
 
 
 def _matches(ref: pd.DataFrame, cmp: pd.DataFrame) -> np.ndarray:
-    """Boolean match table from joins of the distinct keys of both sides; commands also meet by their fuzzy key."""
-    (ref_code, a), (cmp_code, b) = (_coded(df, "action_type", "target") for df in (ref, cmp))
-    (ref_fuzzy, c), (cmp_fuzzy, d) = (_coded(df.assign(fuzzy_type=df["fuzzy_type"].where(df["action_type"] == "COMMAND", "")), "fuzzy_type", "fuzzy_target") for df in (ref, cmp))
-    fuzzy = lambda df: df[df["kind"] != ""]
-    other = lambda df: df[df["kind"] != "COMMAND"]
-    effects = COMPATIBLE[ref["effect"].map(EFFECTS).to_numpy()[:, None], cmp["effect"].map(EFFECTS).to_numpy()[None, :]]
+    """Boolean match table from the equivalent distinct keys of both sides; commands also meet by their fuzzy key."""
+    sides = []
+    for df in (ref, cmp):
+        kinds = df["action_type"].tolist()
+        fuzzy = [f if k == "COMMAND" else "" for k, f in zip(kinds, df["fuzzy_type"].tolist())]
+        effects = np.array([EFFECTS[e] for e in df["effect"].tolist()], np.int64)
+        sides.append((*_coded(kinds, df["target"].tolist()), *_coded(fuzzy, df["fuzzy_target"].tolist()), effects))
+    (ref_code, a, ref_fuzzy, c, ref_effect), (cmp_code, b, cmp_fuzzy, d, cmp_effect) = sides
     fits = np.zeros((len(ref), len(cmp)), dtype=bool)
-    for x, y, left, right in ((ref_code, cmp_code, a, b), (ref_fuzzy, cmp_code, fuzzy(c), other(b)), (ref_code, cmp_fuzzy, other(a), fuzzy(d))):
-        if left.empty or right.empty:
+    plain, fine = (lambda key: True), (lambda key: key[0] != "")
+    other = lambda key: key[0] != "COMMAND"
+    for x, y, left, right, of_left, of_right in ((ref_code, cmp_code, a, b, plain, plain), (ref_fuzzy, cmp_code, c, b, fine, other), (ref_code, cmp_fuzzy, a, d, other, fine)):
+        kept = [[n for n, key in enumerate(keys) if test(key)] for keys, test in ((left, of_left), (right, of_right))]
+        if not kept[0] or not kept[1]:
             continue
-        found = _joined(left, right)
-        table = np.zeros((x.max() + 1, y.max() + 1), dtype=bool)
-        table[found["code_x"].to_numpy(int), found["code_y"].to_numpy(int)] = True
-        fits |= table[x[:, None], y[None, :]]
-    return fits & effects
+        table = np.zeros((len(left), len(right)), dtype=bool)
+        for i, j in _related([left[n] for n in kept[0]], [right[n] for n in kept[1]]):
+            table[kept[0][i], kept[1][j]] = True
+        if table.any():
+            fits |= table[x[:, None], y[None, :]]
+    return fits & COMPATIBLE[ref_effect[:, None], cmp_effect[None, :]]
 
 
 def _fill(match: np.ndarray, top: np.ndarray, left: np.ndarray) -> np.ndarray:

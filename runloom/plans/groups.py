@@ -125,3 +125,59 @@ def folder_rollup(cells: DataFrame) -> DataFrame:
     rows = rows.filter(F.size("_p") > 1).select("group_id", "path", "traj_id", "reads", "writes", F.explode(folders).alias("folder"))
     by_file = rows.groupBy("group_id", "folder", "path").agg(F.sum("reads").alias("reads"), F.sum("writes").alias("writes"))
     return by_file.groupBy("group_id", "folder").agg(F.count("*").alias("files"), F.sum("reads").alias("reads"), F.sum("writes").alias("writes"))
+
+
+def _anchored(parts: Column) -> Column:
+    """How many leading parts name a user's home or a drive. Their names."""
+    size, at = F.size(parts), lambda i: F.get(parts, F.lit(i))
+    return (
+        F.when((size >= 3) & at(0).isin("home", "Users"), 2)
+        .when((size >= 5) & (at(0) == "mnt") & at(2).isin("Users", "home"), 4)
+        .when((size >= 3) & (at(0) == "mnt"), 2).otherwise(0)
+    )
+
+
+def folder_paths(cells: DataFrame) -> DataFrame:
+    """``shown`` of every (group_id, path): its parts without the home prefix.
+
+    A relative path goes below the one parent under which the group's anchored paths have its first folder; where there
+    are several parents, or none, it stays as it is.
+    """
+    files = cells.select("group_id", "path").distinct()
+    files = files.withColumn("_all", F.filter(F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".")))
+    files = files.withColumn("_home", _anchored(F.col("_all"))).withColumn("_rel", F.slice("_all", F.col("_home") + 1, F.greatest(F.lit(0), F.size("_all"))))
+    above = F.transform(F.sequence(F.lit(1), F.size("_rel") - 1), lambda i: F.struct(F.get("_rel", i - 1).alias("folder"), F.slice("_rel", F.lit(1), i - 1).alias("parent")))
+    known = files.filter("_home > 0 and size(_rel) > 1").select("group_id", F.explode(above).alias("x")).select("group_id", "x.*").distinct()
+    single = known.groupBy("group_id", "folder").agg(F.count("*").alias("_n"), F.first("parent").alias("_parent")).filter("_n = 1").drop("_n")
+    loose = F.when((F.col("_home") == 0) & (F.size("_rel") > 1), F.get("_rel", F.lit(0)))
+    rows = files.withColumn("folder", loose).join(single, ["group_id", "folder"], "left")
+    shown = F.when(F.size("_rel") == 0, F.slice("_all", -1, 1)).otherwise(F.concat(F.coalesce("_parent", F.array().cast("array<string>")), "_rel"))
+    return rows.select("group_id", "path", F.when(F.size("_all") > 0, shown).otherwise(F.array("path")).alias("shown"))
+
+
+def folder_tree(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """Files, reads, writes and the mix of readers of every folder, at any level, of a group.
+
+    Of a folder's files ``all_runs`` are read by all runs of the group (two at least), ``one_run`` by exactly one, ``other`` by
+    some or none. A file counts once in every folder above it.
+    """
+    size = members.groupBy("group_id").agg(F.count("*").alias("_runs"))
+    files = cells.groupBy("group_id", "path").agg(F.sum("reads").alias("reads"), F.sum("writes").alias("writes"), F.count_if(F.col("reads") > 0).alias("_readers"))
+    rows = files.join(folder_paths(cells), ["group_id", "path"]).join(size, "group_id").filter(F.size("shown") > 1)
+    folders = F.transform(F.sequence(F.lit(1), F.size("shown") - 1), lambda i: F.array_join(F.slice("shown", F.lit(1), i), "/"))
+    shared = (F.col("_runs") >= 2) & (F.col("_readers") == F.col("_runs"))
+    rows = rows.withColumns({"_shared": shared, "_one": ~shared & (F.col("_readers") == 1), "folder": F.explode(folders)})
+    return rows.groupBy("group_id", "folder").agg(
+        F.count("*").alias("files"), F.sum("reads").alias("reads"), F.sum("writes").alias("writes"),
+        F.count_if("_shared").alias("all_runs"), F.count_if("_one").alias("one_run"), F.count_if(~F.col("_shared") & ~F.col("_one")).alias("other"),
+    )
+
+
+def folder_readers(cells: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the files below a folder that one run alone reads, how many each run reads: group_id, folder, traj_id, files."""
+    read = cells.filter("reads > 0").select("group_id", "path", "traj_id").distinct()
+    alone = read.groupBy("group_id", "path").agg(F.count("*").alias("_n"), F.first("traj_id").alias("traj_id"))
+    size = members.groupBy("group_id").agg(F.count("*").alias("_runs"))
+    rows = alone.filter("_n = 1").join(size.filter("_runs >= 1"), "group_id").join(folder_paths(cells), ["group_id", "path"]).filter(F.size("shown") > 1)
+    folders = F.transform(F.sequence(F.lit(1), F.size("shown") - 1), lambda i: F.array_join(F.slice("shown", F.lit(1), i), "/"))
+    return rows.select("group_id", "traj_id", F.explode(folders).alias("folder")).groupBy("group_id", "folder", "traj_id").agg(F.count("*").alias("files"))

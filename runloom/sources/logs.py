@@ -16,12 +16,24 @@ def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), text.alias("text"), F.sha2("value", 256).alias("sha256"))
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else.
+
+    The parser stops behind the first value, so the text is tried as the only element of a list and as a member's value:
+    no text that goes on closes both.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    single = F.try_variant_get(alone, "$[0]", "variant").isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
+    return single & member.isNotNull()
+
+
 def parse_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejected). Blank lines are skipped; a bad last line without line end is still being written
     and dropped; any other bad line rejects its file, with the line number."""
     rows = docs.select("path", F.split("text", r"\r?\n").alias("_l"))
     rows = rows.select("path", F.size("_l").alias("_n"), F.posexplode("_l").alias("pos", "line"))
-    rows = rows.filter(strip(F.col("line")) != "").withColumn("ok", F.try_parse_json("line").isNotNull())
+    rows = rows.filter(strip(F.col("line")) != "").withColumn("ok", is_json(F.col("line")))
     open_tail = ~F.col("ok") & (F.col("pos") == F.col("_n") - 1)
     rows = rows.filter(~open_tail)
     rejected = rows.filter("not ok").groupBy("path").agg((F.min("pos") + 1).cast("bigint").alias("line_no"))
