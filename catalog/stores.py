@@ -16,7 +16,7 @@ from runloom.streaming import alerts
 def store(spark, d):
     """Sessions, messages and parts of the conversations: chains of eight; every third chain has no root, every third one an absent parent.
 
-    The second message of every fifth conversation has a call that names the conversation three further on.
+    The second message of every fifth conversation has a call that names the conversation seven further on.
     """
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     c = F.col("conv_id")
@@ -26,7 +26,7 @@ def store(spark, d):
     message = F.format_string("m%06d.%03d", c.cast("bigint"), F.col("turn").cast("bigint"))
     messages = rows.select(message.alias("message_id"), name(c).alias("session_id"), (F.col("turn") * 1000 + c % 3).cast("bigint").alias("time_created"), F.to_json(F.struct("role")).alias("data"))
     said = F.to_json(F.struct(F.lit("text").alias("type"), "text"))
-    named = F.to_json(F.struct(F.lit("tool").alias("type"), F.lit("Task").alias("tool"), F.struct(F.lit("completed").alias("status"), F.struct(name(c + 3).alias("sessionId")).alias("metadata")).alias("state")))
+    named = F.to_json(F.struct(F.lit("tool").alias("type"), F.lit("Task").alias("tool"), F.struct(F.lit("completed").alias("status"), F.struct(name(c + 7).alias("sessionId")).alias("metadata")).alias("state")))
     both = F.when((c % 5 == 0) & (F.col("turn") == 1), F.array(said, named)).otherwise(F.array(said))
     parts = rows.select(message.alias("message_id"), F.posexplode(both).alias("i", "data")).select(F.concat("message_id", F.lit("p"), F.col("i").cast("string")).alias("part_id"), "message_id", F.col("i").cast("bigint").alias("time_created"), "data")
     return cut_lineage(sessions), cut_lineage(messages), cut_lineage(parts)
@@ -34,7 +34,7 @@ def store(spark, d):
 
 STORE = """WITH RECURSIVE cv AS (SELECT DISTINCT conv_id AS c FROM conversations),
  ss AS (SELECT c, CASE WHEN c % 8 > 0 THEN c - 1 WHEN c // 8 % 3 = 1 THEN -1 WHEN c // 8 % 3 = 2 THEN c + 7 END AS p FROM cv),
- ed AS (SELECT p AS a, c AS b, 1 AS own, 0 AS told FROM ss WHERE p IS NOT NULL UNION ALL SELECT conv_id, conv_id + 3, 0, 1 FROM conversations WHERE conv_id % 5 = 0 AND turn = 1),
+ ed AS (SELECT p AS a, c AS b, 1 AS own, 0 AS told FROM ss WHERE p IS NOT NULL UNION ALL SELECT conv_id, conv_id + 7, 0, 1 FROM conversations WHERE conv_id % 5 = 0 AND turn = 1),
  eg AS (SELECT a, b, CASE WHEN max(own) + max(told) = 2 THEN 'parent_id+tool_metadata' WHEN max(own) = 1 THEN 'parent_id' ELSE 'tool_metadata' END AS rel FROM ed GROUP BY a, b),
  rt AS (SELECT c FROM ss WHERE p IS NULL OR p NOT IN (SELECT c FROM cv) UNION SELECT c FROM ss WHERE c % 8 = 0 AND p = c + 7 AND (SELECT count(*) FROM cv x WHERE x.c // 8 = ss.c // 8) = 8),
  bf AS (SELECT c AS root, c AS s, 0::BIGINT AS depth, [c] AS path, 'root' AS rel, NULL::BIGINT AS via FROM rt
@@ -51,13 +51,13 @@ def s29_sessions(spark, d):
 
 
 @query("s29_store_messages", STORE + """SELECT printf('c%06d', root) AS root, row_number() OVER (PARTITION BY root ORDER BY turn * 1000 + s % 3, o, printf('m%06d.%03d', s, turn)) - 1 AS step_idx, printf('m%06d.%03d', s, turn) AS message_id,
-  depth > 0 AS is_sub_agent, CASE WHEN depth > 0 THEN coalesce(CASE WHEN ss.p = -1 THEN 'gone' WHEN ss.p IS NOT NULL THEN printf('c%06d', ss.p) END, printf('c%06d', via)) END AS parent_session_id, CASE WHEN s % 5 = 0 AND turn = 1 THEN 2 ELSE 1 END AS parts
+  depth > 0 AS is_sub_agent, CASE WHEN depth > 0 THEN coalesce(CASE WHEN ss.p = -1 THEN 'gone' WHEN ss.p IS NOT NULL THEN printf('c%06d', ss.p) END, printf('c%06d', via)) END AS parent_session_id, CASE WHEN s % 5 = 0 AND turn = 1 THEN 2 ELSE 1 END::BIGINT AS parts
   FROM pk JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS o FROM conversations) v ON v.conv_id = pk.s JOIN ss ON ss.c = pk.s""")
 def s29_messages(spark, d):
     sessions, messages, parts = store(spark, d)
     found, _ = st.descendants(st.roots(sessions), st.edges(sessions, messages, parts), sessions)
     rows = st.assemble(found, sessions, messages, parts)
-    return rows.select("root", "step_idx", "message_id", "is_sub_agent", "parent_session_id", F.size("parts").alias("parts"))
+    return rows.select("root", "step_idx", "message_id", "is_sub_agent", "parent_session_id", F.size("parts").cast("bigint").alias("parts"))
 
 
 @query("s29_missing_sessions", STORE + "SELECT printf('c%06d', pk.root) AS root, printf('c%06d', eg.a) AS parent, printf('c%06d', eg.b) AS child, pk.depth + 1 AS depth FROM pk JOIN eg ON eg.a = pk.s WHERE eg.b NOT IN (SELECT c FROM cv)")
@@ -67,14 +67,14 @@ def s29_missing(spark, d):
 
 
 def shards(spark, d):
-    """A turn is a shard file with its text, and once more in capitals for odd turns; odd conversations number their shards by twos."""
+    """A turn is a shard file with its text, and once more with a mark for odd turns; odd conversations number their shards by twos."""
     c, t = F.col("conv_id"), F.col("turn")
     one = F.to_json(F.struct("text"))
-    held = F.when(t % 2 == 1, F.concat(F.lit("["), one, F.lit(", "), F.to_json(F.struct(F.upper("text").alias("text"))), F.lit("]"))).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    held = F.when(t % 2 == 1, F.concat(F.lit("["), one, F.lit(", "), F.to_json(F.struct(F.concat("text", F.lit("!")).alias("text"))), F.lit("]"))).otherwise(F.concat(F.lit("["), one, F.lit("]")))
     return table(spark, d, "conversations").select(c.alias("traj_id"), F.concat(F.lit("messages_"), (t * (1 + c % 2)).cast("string"), F.lit(".json")).alias("file"), held.alias("text"))
 
 
-@query("s30_merged_shards", "SELECT conv_id AS traj_id, turn * (1 + conv_id % 2) AS shard, CAST(b + i AS BIGINT) AS position, md5(CASE WHEN i = 1 THEN upper(text) ELSE text END) AS digest FROM (SELECT *, sum(1 + turn % 2) OVER (PARTITION BY conv_id ORDER BY turn) - 1 - turn % 2 AS b FROM conversations), (SELECT unnest([0, 1]) AS i) WHERE i <= turn % 2")
+@query("s30_merged_shards", "SELECT conv_id AS traj_id, turn * (1 + conv_id % 2) AS shard, CAST(b + i AS BIGINT) AS position, md5(CASE WHEN i = 1 THEN text || '!' ELSE text END) AS digest FROM (SELECT *, sum(1 + turn % 2) OVER (PARTITION BY conv_id ORDER BY turn) - 1 - turn % 2 AS b FROM conversations), (SELECT unnest([0, 1]) AS i) WHERE i <= turn % 2")
 def s30_merged(spark, d):
     messages, _ = st.merge_shards(shards(spark, d))
     return messages.select("traj_id", "shard", F.col("position").cast("bigint").alias("position"), F.md5(F.get_json_object("message", "$.text")).alias("digest"))
@@ -103,7 +103,7 @@ TREE = """WITH ev AS (SELECT user_id AS t, user_id // 5 AS g, CAST(regexp_extrac
  ce AS (SELECT g, t, CASE WHEN event_type = 'view' THEN '/home/ann/proj/src/m' || k % 5 || '/f' || k % 3 || '.py' WHEN event_type = 'click' THEN 'src/m' || k % 5 || '/f' || k % 3 || '.py' WHEN event_type = 'purchase' THEN '/mnt/c/Users/bob/work/lib/l' || k % 4 || '.py'
    WHEN event_type = 'signup' THEN 'lib/deep/d' || k % 4 || '.py' WHEN k % 3 = 0 THEN '/mnt/d/data/t' || k % 2 || '.csv' WHEN k % 3 = 1 THEN 'docs/./r' || k % 2 || '.md' WHEN t % 10 < 5 THEN '/home/ann/other/src/b.py' ELSE 'top.md' END AS path,
    count(*) FILTER (k % 2 = 0) AS r, count(*) FILTER (k % 2 = 1) AS w FROM ev GROUP BY ALL),
- fi AS (SELECT g, path, sum(r) AS r, sum(w) AS w, count(*) FILTER (r > 0) AS readers, any_value(t) FILTER (r > 0) AS someone, list_filter(string_split(path, '/'), x -> x <> '' AND x <> '.') AS p FROM ce GROUP BY g, path),
+ fi AS (SELECT g, path, sum(r) AS r, sum(w) AS w, count(*) FILTER (r > 0) AS readers, any_value(t) FILTER (r > 0) AS someone, list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.') AS p FROM ce GROUP BY g, path),
  ho AS (SELECT *, CASE WHEN path LIKE '/home/%' THEN 2 WHEN path LIKE '/mnt/c/%' THEN 4 WHEN path LIKE '/mnt/%' THEN 2 ELSE 0 END AS h FROM fi), re AS (SELECT *, p[h + 1:] AS rel FROM ho),
  ix AS (SELECT g, folder, any_value(up) AS up FROM (SELECT DISTINCT g, rel[i] AS folder, rel[1:i - 1] AS up FROM re, generate_series(1, 9) z(i) WHERE h > 0 AND i < len(rel)) GROUP BY g, folder HAVING count(*) = 1),
  sh AS (SELECT re.*, CASE WHEN h = 0 AND len(rel) > 1 AND ix.folder IS NOT NULL THEN list_concat(ix.up, rel) ELSE rel END AS shown FROM re LEFT JOIN ix ON ix.g = re.g AND ix.folder = rel[1]),
