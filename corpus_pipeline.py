@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, quality, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes it to shared storage and
-hands it to the next one as its docs. All but the last keep the columns of documents.
+hands it to the next one as its docs. All but the last keep the columns of documents, whatever their names.
+
+Null texts count as empty ones in every stage. Rows are judged one by one, so repeated rows share their fate in the first two
+stages; of repeated rows the third keeps one. Rows without an id are judged by their text. An empty table stays empty, and
+without labels the first two stages keep every row.
 """
 
 from __future__ import annotations
