@@ -3,9 +3,10 @@
 Documents become pieces of at most ``size`` tokens; full pieces are sequences of their own, and the
 short ones are dealt by hash into blocks of bounded size. Each block is evolved on islands: a
 solution's genes are its bins. Crossover injects whole well-filled bins of one parent into the other,
-drops the bins that then hold a document twice, and puts the displaced documents back by best fit.
-Between epochs the best solution of each island migrates to the next one, and the best of all islands
-is the block's packing.
+drops the bins that then hold a document twice, and fills the space left and new bins with the displaced
+documents, as tightly as two or three of them can. Between epochs the best solution of each island
+migrates to the next one, and the best of all islands is the block's packing. A block is evolved until it
+has as few bins as a lower bound proves necessary, or its crossovers are spent.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ from runloom.llm.encoders import library_encoder
 
 #: Short pieces in a block, the bound of one evolving task's items.
 BLOCK = 8_192
-ISLANDS, EPOCHS, SOLUTIONS, CROSSOVERS = 2, 2, 3, 3
+#: Crossovers of an island in an epoch: so many for each bin above the block's bound, and the most of them.
+ISLANDS, EPOCHS, SOLUTIONS, CROSSOVERS, MOST = 2, 3, 4, 4, 32
+#: A bin is filled by two pieces that leave at most so much, or by a large one and what then fits.
+SLACK = 16
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -89,6 +93,78 @@ def best_fit(lengths: list[int], order, size: int) -> np.ndarray:
     return at
 
 
+class Rest:
+    """Pieces not yet placed, by length: a bit set of the lengths and its mirror tell which pairs add up to a space."""
+
+    def __init__(self, lengths: list[int], items, size: int):
+        self.size, self.by_length, self.mask, self.mirror = size, [[] for _ in range(size + 1)], 0, 0
+        for i in items:
+            self.by_length[lengths[i]].append(i)
+        for x in {lengths[i] for i in items}:
+            self.mask |= 1 << x
+            self.mirror |= 1 << (size - x)
+
+    def take(self, length: int) -> int:
+        i = self.by_length[length].pop()
+        if not self.by_length[length]:
+            self.mask ^= 1 << length
+            self.mirror ^= 1 << (self.size - length)
+        return i
+
+    def pair(self, space: int) -> int:
+        """The longer of two pieces that fill ``space``, 0 if there are none."""
+        both, half = self.mask & (self.mirror >> (self.size - space)), space // 2
+        if 2 * half == space and both >> half & 1 and len(self.by_length[half]) < 2:
+            both ^= 1 << half
+        return both.bit_length() - 1 if both else 0
+
+    def fill(self, space: int) -> list[int]:
+        """Pieces that fill ``space`` about as far as it can be."""
+        out = []
+        while fits := self.mask & ((2 << space) - 1):
+            most, least = fits.bit_length() - 1, (fits & -fits).bit_length() - 1
+            if most < space:
+                roomy = 3 * least <= space
+                sums = range(min(space, 2 * most), max(most, space - SLACK if roomy else 0), -1)
+                total, longer = next(((s, x) for s in sums if (x := self.pair(s))), (0, 0))
+                if longer:
+                    out += [self.take(longer), self.take(total - longer)]
+                    space -= total
+                    continue
+                if roomy:
+                    most = (fits & ((2 << (space - 2 * least)) - 1)).bit_length() - 1
+            out.append(self.take(most))
+            space -= most
+        return out
+
+
+def tight_fit(lengths: list[int], order, size: int, at: np.ndarray, free=()) -> np.ndarray:
+    """``at`` with the pieces of ``order`` placed: in bins by ``free`` space, then in new ones that they open in this order."""
+    rest, number = Rest(lengths, order, size), len(free)
+    for space, b in sorted((space, b) for b, space in enumerate(free) if space):
+        if not rest.mask:
+            break
+        for i in rest.fill(space):
+            at[i] = b
+    for i in order:
+        if rest.by_length[lengths[i]]:  # any piece of the length, they are alike
+            for j in (rest.take(lengths[i]), *rest.fill(size - lengths[i])):
+                at[j] = number
+            number += 1
+    return at
+
+
+def least_bins(lengths: np.ndarray, size: int) -> int:
+    """A bound: pieces too long to share a bin and what the rest needs beside them (Martello and Toth), or how many fit a bin at most."""
+    n = np.bincount(lengths, minlength=size + 1)
+    count, total = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * np.arange(size + 1))]  # of those shorter than the index
+    small = np.arange(size // 2 + 1)
+    half, large = size // 2 + 1, size - small + 1
+    halves, room = count[large] - count[half], (count[large] - count[half]) * size - (total[large] - total[half])
+    beside = np.maximum(0, -((room - (total[half] - total[small])) // size))
+    return max(int((count[size + 1] - count[large] + halves + beside).max()), -(-len(lengths) // (size // int(lengths.min()))) if len(lengths) else 0)
+
+
 def quality(lengths: np.ndarray, at: np.ndarray, size: int) -> tuple[int, float]:
     """Smaller is better: bins, then minus the mean square of their fill."""
     fill = np.bincount(at, lengths)
@@ -96,9 +172,9 @@ def quality(lengths: np.ndarray, at: np.ndarray, size: int) -> tuple[int, float]
 
 
 def crossover(lengths: np.ndarray, into: np.ndarray, source: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """``into`` with about half of the best-filled bins of ``source`` injected whole."""
+    """``into`` with about a fifth of the well-filled bins of ``source`` injected whole."""
     fill = np.bincount(source, lengths)
-    injected = (fill >= np.quantile(fill, 0.25)) & (rng.random(len(fill)) < 0.5)
+    injected = (fill >= np.quantile(fill, 0.25)) & (rng.random(len(fill)) < 0.2)
     moved = injected[source]
     hit = np.zeros(int(into.max()) + 1, bool)
     hit[into[moved]] = True  # bins that now hold a document twice
@@ -106,18 +182,19 @@ def crossover(lengths: np.ndarray, into: np.ndarray, source: np.ndarray, size: i
     own = np.bincount(into, lengths)
     hit |= own <= np.quantile(own, 0.02)
     displaced = hit[into] & ~moved
-    bins = Bins(size)
-    at = np.empty(len(lengths), np.int32)
+    free, at = [], np.empty(len(lengths), np.int32)
     kept = ~displaced & ~moved
     for part, mask in ((source, moved), (into, kept)):
-        names, number = np.unique(part[mask], return_inverse=True)
-        first = len(bins.free)
-        for used in np.bincount(number, lengths[mask], minlength=len(names)).astype(int).tolist():
-            bins.add(size - used)
-        at[mask] = first + number
-    for i in np.flatnonzero(displaced).tolist():  # items are in descending length
-        at[i] = bins.put(int(lengths[i]))
-    return at
+        used = np.bincount(part[mask], lengths[mask]).astype(int)
+        at[mask] = len(free) + (np.cumsum(used > 0) - 1)[part[mask]]
+        free += (size - used[used > 0]).tolist()
+    loose = np.flatnonzero(displaced)
+    return tight_fit(lengths.tolist(), disordered(lengths, loose, rng), size, at, free)
+
+
+def disordered(lengths: np.ndarray, items: np.ndarray, rng: np.random.Generator) -> list[int]:
+    """The longest first, but for chance: from none to one that puts pieces of a third of the length first."""
+    return items[np.argsort(-lengths[items] * rng.uniform(rng.uniform(0.3, 1), 1, len(items)), kind="stable")].tolist()
 
 
 def evolve(lengths: np.ndarray, solutions: list[np.ndarray], size: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -125,16 +202,18 @@ def evolve(lengths: np.ndarray, solutions: list[np.ndarray], size: int, rng: np.
     items = lengths.tolist()
     if not solutions:
         solutions.append(best_fit(items, range(len(items)), size))
-    while len(solutions) < SOLUTIONS:  # best fit after a slight disorder
-        solutions.append(best_fit(items, np.argsort(-lengths * rng.uniform(0.9, 1, len(lengths)), kind="stable").tolist(), size))
+    bound, every = least_bins(lengths, size), np.arange(len(items))
     ranked = sorted(((quality(lengths, s, size), k, s) for k, s in enumerate(solutions)), key=lambda x: x[:2])
-    floor = math.ceil(int(lengths.sum()) / size)
-    for k in range(CROSSOVERS):
-        if ranked[0][0][0] <= floor:
+    while len(ranked) < SOLUTIONS and ranked[0][0][0] > bound:
+        order = disordered(lengths, every, rng)
+        at = tight_fit(items, order, size, np.empty(len(items), np.int32))
+        ranked = sorted([*ranked, (quality(lengths, at, size), len(ranked), at)], key=lambda x: x[:2])
+    for k in range(MOST):
+        if k >= CROSSOVERS * (ranked[0][0][0] - bound):
             break
         a, b = rng.choice(len(ranked), 2, replace=False)
         child = crossover(lengths, ranked[min(a, b)][2], ranked[max(a, b)][2], size, rng)
-        ranked = sorted([*ranked, (quality(lengths, child, size), len(solutions) + k, child)], key=lambda x: x[:2])[:SOLUTIONS]
+        ranked = sorted([*ranked, (quality(lengths, child, size), SOLUTIONS + len(solutions) + k, child)], key=lambda x: x[:2])[:SOLUTIONS]
     return [s for _, _, s in ranked]
 
 

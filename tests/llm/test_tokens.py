@@ -110,6 +110,39 @@ def test_genetic_packing_beats_plain_best_fit_or_equals_it():
     assert np.bincount(child, lengths).max() <= 1024 and len(child) == len(lengths)
 
 
+def test_evolving_reaches_the_bound_where_best_fit_is_far_from_it():
+    lengths = np.sort(np.random.default_rng(2).integers(280, 400, 900))[::-1]
+    first = packing.best_fit(lengths.tolist(), range(len(lengths)), 1024)
+    best = packing.evolve(lengths, [], 1024, np.random.default_rng(1))[0]
+    assert packing.least_bins(lengths, 1024) == 300 == best.max() + 1 < first.max() + 1
+    assert np.bincount(best, lengths).max() <= 1024 and len(best) == 900
+
+
+def test_later_epochs_improve_a_packing():
+    lengths = np.sort(np.random.default_rng(0).integers(200, 500, 1500))[::-1]
+    solutions, bins = [], []
+    for epoch in range(packing.EPOCHS):
+        solutions = packing.evolve(lengths, solutions, 1024, np.random.default_rng([1, epoch]))
+        bins.append(packing.quality(lengths, solutions[0], 1024))
+        assert all(np.bincount(s, lengths).max() <= 1024 for s in solutions)
+    assert bins == sorted(bins, reverse=True) and bins[-1] < bins[0]
+    assert bins[-1][0] < 0.96 * packing.quality(lengths, packing.best_fit(lengths.tolist(), range(1500), 1024), 1024)[0]
+
+
+def test_the_bound_of_bins_is_never_above_the_best_packing():
+    def fewest(rest, bins=()):
+        if not rest:
+            return len(bins)
+        tried = [fewest(rest[1:], (*bins[:b], bins[b] + rest[0], *bins[b + 1 :])) for b in range(len(bins)) if bins[b] + rest[0] <= 16]
+        return min([*tried, fewest(rest[1:], (*bins, rest[0]))])
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        lengths = np.sort(rng.integers(1, 16, 6))[::-1]
+        best = packing.evolve(lengths, [], 16, rng)[0]
+        assert packing.least_bins(lengths, 16) <= fewest(tuple(lengths.tolist())) <= best.max() + 1 <= fewest(tuple(lengths.tolist())) + 1
+
+
 def test_digest_columns_of_the_query(spark, library):
     from runloom.llm.queries import QUERIES
 
