@@ -61,22 +61,25 @@ def descendants(start: DataFrame, links: DataFrame, sessions: DataFrame, max_dep
     known = sessions.select(F.col("session_id").alias("child")).distinct()
     level = start.select(F.col("session_id").alias("root"), "session_id", F.array("session_id").alias("path"), F.lit("root").alias("discovered_by"), F.lit(None).cast("string").alias("traversal_parent_id"), F.lit(0).cast("bigint").alias("depth"))
     found = level = cut_lineage(level)
-    missing = None
     depth = 0
     while not level.isEmpty():
         depth += 1
         step = level.select("root", F.col("session_id").alias("parent"), "path").join(links, "parent")
         step = cut_lineage(step.join(found.select("root", F.col("session_id").alias("child")), ["root", "child"], "left_anti"))
         there = step.join(known, "child", "left_semi")
-        lost = step.join(known, "child", "left_anti").select("root", "parent", "child", F.lit(depth).cast("bigint").alias("depth"), F.lit("absent").alias("reason"))
         if max_depth is not None and depth > max_depth:
-            lost = lost.unionByName(there.select("root", "parent", "child", F.lit(depth).cast("bigint").alias("depth"), F.lit("too deep").alias("reason")))
             there = there.filter("false")
-        missing = lost if missing is None else missing.unionByName(lost)
         best = there.groupBy("root", "child").agg(F.min(F.struct(F.concat("path", F.array("child")).alias("path"), "relation", "parent")).alias("m"))
         level = cut_lineage(best.select("root", F.col("child").alias("session_id"), "m.path", F.col("m.relation").alias("discovered_by"), F.col("m.parent").alias("traversal_parent_id"), F.lit(depth).cast("bigint").alias("depth")))
         found = found.unionByName(level)
-    return cut_lineage(found.drop("path")), cut_lineage(missing.distinct())
+    found = cut_lineage(found.drop("path"))
+    # each session was expanded once, so one pass over all depths gives what their references missed
+    told = found.select("root", F.col("session_id").alias("parent"), (F.col("depth") + 1).alias("depth")).join(links, "parent")
+    missing = told.join(known, "child", "left_anti").withColumn("reason", F.lit("absent"))
+    if max_depth is not None:
+        deep = told.filter(F.col("depth") > max_depth).join(found.select("root", F.col("session_id").alias("child")), ["root", "child"], "left_anti")
+        missing = missing.unionByName(deep.join(known, "child", "left_semi").withColumn("reason", F.lit("too deep")), allowMissingColumns=True)
+    return found, cut_lineage(missing.select("root", "parent", "child", "depth", "reason").distinct())
 
 
 def assemble(found: DataFrame, sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:

@@ -93,6 +93,26 @@ def test_assembly_of_a_store(spark):
                 assert r["parent_session_id"] == ((parent[r["session_id"]] or seen[r["session_id"]][2]) if r["is_sub_agent"] else None)
 
 
+def test_missing_references_take_no_join_a_level(spark, monkeypatch):
+    cut, joins = stores.cut_lineage, []
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return cut(df)
+
+    monkeypatch.setattr(stores, "cut_lineage", counted)
+    sessions = spark.createDataFrame([(f"s{i}",) for i in range(6)], "session_id string")
+    named = [(f"s{i - 1}", f"s{i}", "parent_id") for i in range(1, 6)] + [("s0", "gone", "parent_id"), ("s4", "gone", "tool_metadata"), ("s5", "s2", "parent_id")]
+    links = spark.createDataFrame(named, "parent string, child string, relation string")
+    start = spark.createDataFrame([("s0",)], "session_id string")
+    found, missing = stores.descendants(start, links, sessions)
+    assert max(joins) <= 4 and found.count() == 6
+    assert sorted(missing.collect()) == [("s0", "s0", "gone", 1, "absent"), ("s0", "s4", "gone", 5, "absent")]
+    found, missing = stores.descendants(start, links, sessions, max_depth=2)
+    assert found.count() == 3
+    assert sorted(missing.collect()) == [("s0", "s0", "gone", 1, "absent"), ("s0", "s2", "s3", 3, "too deep")]
+
+
 def test_shards_in_the_order_of_their_numbers(spark):
     rnd = random.Random(1)
     held = {k: {n: [json.dumps({"m": f"{k}.{n}.{i}"}) for i in range(rnd.randrange(4))] for n in rnd.sample(range(30), 12)} for k in range(3)}
