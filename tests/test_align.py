@@ -53,6 +53,21 @@ def test_alignment(spark, cells):
         assert sorted((r.ref_seq, r.cmp_seq) for r in got if r.group_key == key) == expected(a, b)
 
 
+def test_pairs_are_dealt_by_number_and_may_span_batches(spark):
+    pairs = {f"p{n}": (sequence(2 * n, n % 7), sequence(2 * n + 1, n % 5 + 1)) for n in range(40)}
+    schema = "group_key string, seq long, action_type string, target string, effect string, command string"
+    side = lambda s: spark.createDataFrame([(k, *r, "") for k, v in pairs.items() for r in v[s]], schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        out = al.align(side(0), side(1))
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key, (a, b) in pairs.items():
+        assert sorted((r.ref_seq, r.cmp_seq) for r in got if r.group_key == key) == expected(a, b)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("kind, a, b, same", [
     ("FILE_READ", "/home/u/repo/src/app.ts", "/other/repo/src/app.ts", True), ("FILE_READ", "/w/a.py", "a.py", True), ("FILE_READ", "/w/a.py", "/v/a.py", False),
     ("FILE_READ", "", "", True), ("FILE_READ", "", "a.py", False), ("SEARCH", "p@/w/src/x", "p", True), ("SEARCH", "p@src", "q@src", False), ("SEARCH", "p@a", "p@b", False),
