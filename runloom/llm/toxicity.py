@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +210,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_o
     the class over those taken.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), parts) != held_out)).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
-    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = stored(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     one = lambda c: known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("weight", F.lit(max(1.0, counts.get(c, 0) / sample)))
     chosen = one(0).unionByName(one(1))
@@ -270,19 +271,21 @@ def shared_counts(docs: DataFrame) -> dict[int, DataFrame]:
 def with_shared(grams: DataFrame, levels: dict[int, DataFrame]) -> DataFrame:
     """``grams`` (gram, of the highest order) with ``shared``, the probability of the last letter after all but the first.
 
-    Kneser-Ney over ``levels``: each order's discounted share of its context, and the next lower order for the rest.
+    Kneser-Ney over ``levels``: each order's discounted share of its context, and the next lower order for the rest. Each order
+    is stored: as one plan they would be planned anew, whole, on the driver after every stage.
     """
+    rare = [level.agg(F.lit(k).alias("k"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")) for k, level in levels.items() if k > 1]
+    discount = {r["k"]: r["once"] / (r["once"] + 2 * r["twice"]) if r["once"] else 0.5 for r in reduce(DataFrame.unionAll, rare).collect()}
     for k in sorted(levels):
         level, last = levels[k], F.substring("gram", ORDER - k + 1, k)
         of_context = level.groupBy(F.substring("gram", 1, k - 1).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         rows = grams.select(last.alias("gram")).distinct().join(level, "gram").withColumn("context", F.substring("gram", 1, k - 1)).join(of_context, "context")
         if k == 1:
-            below = rows.select("gram", ((F.col("n") + 1) / (F.col("total") + F.col("kinds") + 1)).alias("shared"))
+            below = stored(rows.select("gram", ((F.col("n") + 1) / (F.col("total") + F.col("kinds") + 1)).alias("shared")), "backoff-1")
             continue
-        once, twice = level.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-        d = once / (once + 2 * twice) if once else 0.5
+        d = discount[k]
         rows = rows.withColumn("lower", F.substring("gram", 2, k - 1)).join(below.select(F.col("gram").alias("lower"), F.col("shared").alias("rest")), "lower")
-        below = rows.select("gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("rest")).alias("shared"))
+        below = stored(rows.select("gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total") + d * F.col("kinds") / F.col("total") * F.col("rest")).alias("shared")), f"backoff-{k}")
     return grams.withColumn("last", F.substring("gram", 2, ORDER - 1)).join(below.withColumnRenamed("gram", "last"), "last").drop("last")
 
 

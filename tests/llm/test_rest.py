@@ -162,6 +162,12 @@ def test_shared_backoff_counts_cover_all_texts(spark, monkeypatch):
     assert toxicity.with_shared(grams.limit(0), toxicity.shared_counts(docs.limit(0))).count() == 0
 
 
+def test_backoff_orders_are_planned_one_by_one(spark):
+    docs = spark.createDataFrame([("some words of a few letters",), (None,)], "text string")
+    plan = toxicity.with_shared(toxicity.corpus_grams(docs).distinct(), toxicity.shared_counts(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
+
+
 def test_pipeline_stages_keep_columns_and_copies_go(spark):
     import corpus_pipeline as pipeline
 
