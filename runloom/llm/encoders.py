@@ -27,6 +27,12 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 MEMO = 250_000
 #: The same pattern over ASCII bytes, what is frequent first (a word or number can't begin with an apostrophe).
 ASCII_WORD = re.compile(rb" ?[A-Za-z]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+#: A letter of the upper half of Latin-1 in UTF-8, text that has nothing else beyond ASCII, and its words (possessive: long ones take no memory).
+LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+LATIN_TEXT = re.compile(rb"[\0-\x7f]*(?:" + LATIN + rb"[\0-\x7f]*)*+")
+LATIN_WORD = re.compile(ASCII_WORD.pattern.replace(rb"[A-Za-z]+", rb"(?:[A-Za-z]+|" + LATIN + rb")++").replace(rb"[^\sA-Za-z0-9]", rb"[^\sA-Za-z0-9\x80-\xff]"))
+#: A chunk that is one word.
+LONE_WORD = re.compile(rb" [A-Za-z]*(?:" + LATIN + rb"[A-Za-z]*)*+")
 
 
 @lru_cache(1)
@@ -39,7 +45,9 @@ def byte_letters() -> str:
 
 def words(data: bytes) -> list[bytes]:
     """A chunk's words."""
-    return ASCII_WORD.findall(data) if data.isascii() else [w.encode() for w in WORD.findall(data.decode())]
+    if data.isascii():
+        return ASCII_WORD.findall(data)
+    return LATIN_WORD.findall(data) if LATIN_TEXT.fullmatch(data) else [w.encode() for w in WORD.findall(data.decode())]
 
 
 class Memo(dict):
@@ -96,7 +104,7 @@ class LibraryEncoder(TextEncoder):
         return array("I", [t.id for t in self.model.tokenize(charmap_decode(word, "strict", self.letters)[0])]).tobytes()
 
     def chunk(self, data: bytes) -> bytes:
-        if data[0] == 32 and data[1:].isalpha():
+        if LONE_WORD.fullmatch(data):
             return self.word(data)
         return b"".join(map(self.parts.__getitem__, words(data)))
 

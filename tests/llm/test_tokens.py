@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from runloom.llm import bpe, packing, token_files
+from runloom.llm import bpe, encoders, packing, token_files
 from runloom.llm.common import shared_folder
 from runloom.llm.encoders import LibraryEncoder, Memo
 from runloom.llm.queries import TOKENIZER
@@ -28,6 +28,20 @@ def test_encoders_give_the_librarys_ids(library, odd_rows):
             assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(library, text)
 
 
+def test_latin_texts_are_split_as_bytes(library, monkeypatch):
+    rnd = random.Random(5)
+    parts = [" ", " ", "  ", "\n", "\t", "a", "É", "ü", "ñoß", "Zz", "'s", "'ll", "'", "7", "42", "-", ",.", "…", "×", "÷", "µ", "\x1c", "\x00", "x́", "日"]
+    texts = [" ", "é", " é", " é's", "né-é,", "é÷é", "é" * 3_000, *("".join(rnd.choice(parts) for _ in range(30)) for _ in range(600))]
+    encoder = LibraryEncoder(TOKENIZER)
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(library, text)
+        for chunk in text.split():
+            assert encoders.words(chunk.encode()) == [w.encode() for w in encoders.WORD.findall(chunk)]
+    monkeypatch.setattr(encoders, "WORD", None)
+    text = "Où est l'élève? für Größe: straße's niño 12é, naïve\n\n señor"
+    assert np.frombuffer(LibraryEncoder(TOKENIZER).encode(text), "<u4").tolist() == ids_of(library, text)
+
+
 WIDE = ["\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
 
 
