@@ -2,11 +2,15 @@
 
 import json
 import random
+import uuid
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators import slices
+from runloom.session import shared_folder
 from runloom.sources import nested
 
 
@@ -169,3 +173,22 @@ def test_calls_keep_times_and_reasons(spark):
     c, d = rows["c"], rows["d"]
     assert (c["status"], c["output"], c["error_type"], c["time_start"] - c["base"], c["time_end"] - c["base"], c["input"]["command"]) == ("error", "boom", "timeout", 5000, 9000, "ls")
     assert (d["status"], d["error_type"], d["time_start"] - d["base"], d["time_end"], d["input"]["file_path"]) == ("error", "missing_result", 4000, None, "x")
+
+
+def test_long_exports_are_read_a_few_at_a_time(spark):
+    told = lambda: "".join(uuid.uuid4().hex for _ in range(1500))
+    session = lambda n, *below: {"meta": {"session_id": f"s{n}"}, "state": {"messages": [{"role": "user", "contents": [told()]}]}, "_chrys_sub_agent_sessions": [*below]}
+    docs = spark.createDataFrame([(n, json.dumps(session(n, session(-n)))) for n in range(400)], "traj_id long, text string").coalesce(1)
+    top = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(top.iterdir())
+    assert nested.sessions(docs).count() == 800
+    groups = [pq.ParquetFile(f).metadata for t in set(top.iterdir()) - before for f in t.glob("*.parquet")]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 50_000_000 and max(sizes) < 8_000_000
+
+
+def test_running_takes_what_comes_before_for_named_columns_alone(spark):
+    rows = [(i // 4, i, v) for i, v in enumerate([3, 1, 4, 1, 5, 9, 2, 6, 5, 3])]
+    made = slices.running(spark.createDataFrame(rows, "slice long, pos long, v long").withColumn("k", F.lit(1)), {"upto": F.col("v"), "before": F.col("v")}, keys=["k"], order=["pos"], how="max", strict=["before"])
+    got = [(r["upto"], r["before"]) for r in sorted(made.collect(), key=lambda r: r["pos"])]
+    assert got == [(max(r[2] for r in rows[: i + 1]), max((r[2] for r in rows[:i]), default=None)) for i in range(len(rows))]
