@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from runloom.sources import codex, loading, nested
+from runloom.sources import codex, loading, logs, nested
 from tests.test_codex import as_lines, random_events
 from tests.test_nested import Maker
 
@@ -44,3 +44,24 @@ def test_one_way_in(spark, tmp_path):
     assert [s[:3] for s in of("claude.json")] == [(0, "user", "q"), (1, "assistant", "r")]
     wrong = loading.load(spark, str(tmp_path), hint="codex").files.filter(F.col("path").endswith("/export.json")).first()
     assert wrong["error"].startswith("format mismatch")
+
+
+def test_one_reading_tells_the_same_dialect(spark):
+    texts = [
+        '{"_cc_format": true}', '{"_pi_format": "true"}', '{"format": "ccsession-trajectory"}', '{"export_metadata": {"source_format": "cursor_composer"}, "info": {}, "messages": []}',
+        '{"export_metadata": {"schema_version": 2, "source_format": "codearts_opencode_sqlite"}, "info": {"a": 1}, "messages": [1]}', '{"export_metadata": {"schema_version": "2", "source_format": "codearts_legacy_json"}, "messages": []}',
+        '{"meta": {"session_id": "z"}, "state": {"messages": [{"type": "message", "contents": []}]}}', '{"meta": {"session_id": "z"}, "state": {"messages": [{"role": "tool", "contents": "x"}]}}',
+        '{"_chrys_export": {"format": "chrys-expanded-session-v1"}, "state": {"messages": []}}', '{"info": {"id": 1}, "messages": [1]}', '{"info": [], "messages": [1]}', '{"info": null, "messages": null}', "[1]", "17", '"x"', "null", "{}",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    paths = ["$.type", "$.info", "$.messages", "$.export_metadata.source_format", "$.state.messages[0].contents"]
+    head = logs.object_head(F.col("text"))
+    got = rows.select("text", logs.object_format(F.col("text")).alias("a"), logs.object_format(F.col("text"), head).alias("b"), *[F.get_json_object("text", p).eqNullSafe(logs.member(head, p)).alias(p) for p in paths]).collect()
+    assert all(r["a"] == r["b"] and all(r[p] for p in paths) for r in got), got
+    assert {r["a"] for r in got} == {"ccsession", "pi", "cursor", "codearts", "icode", "opencode", "unknown"}
+
+
+def test_first_events_are_the_first_numbers(spark):
+    rows = spark.createDataFrame([(f"p{n % 3}", n * n % 401, str(n)) for n in range(90)], "path string, line_no long, line string").dropDuplicates(["path", "line_no"])
+    told = lambda df: sorted(map(tuple, df.select("path", "line_no", "event_no", "line").collect()))
+    assert told(logs.first_events(rows)) == told(logs.number_events(rows).filter("event_no < 12"))
